@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import bpe, packing
+from undertow.llm import bpe, jpeg, packing, secrets, simhash, substrings
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,16 +16,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCAB)
 
 
+def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store_and_read(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), VOCAB)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_bpe)}
+    return {f.__name__: f for f in (op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
