@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import bpe, jpeg, packing, secrets, simhash, substrings
+from undertow.llm import bpe, jpeg, packing, quality, secrets, simhash, substrings
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs.select("doc_id", "text"), quality.fit(docs, labels(spark, sf_dir)))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -41,7 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
