@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the shared checkpoint folder."""
     ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """The same rows, written once as compressed Parquet in the shared folder and read again. For wide rows, of
+    which a checkpoint would keep an uncompressed copy."""
+    spark = df.sparkSession
+    ensure_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import bpe, jpeg, packing, quality, secrets, simhash, substrings
+from undertow.llm import bpe, jpeg, lines, packing, quality, secrets, simhash, substrings
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,8 +49,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), VOCAB)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
