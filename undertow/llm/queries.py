@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import bpe, jpeg, lines, packing, quality, secrets, simhash, substrings
+from undertow.llm import bpe, html, jpeg, licenses, lines, packing, quality, secrets, simhash, substrings
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,6 +33,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCAB)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_and_read(documents(spark, sf_dir))
 
@@ -54,7 +62,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_substrings, op5_simhash, op6_packing, op8_jpeg, op9_bpe, op10_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_substrings, op4_html, op5_simhash, op6_packing, op7_licenses, op8_jpeg, op9_bpe, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
