@@ -7,7 +7,8 @@ in one bit or none, the codeword of the one is among those of the other.
 
 Three differing bits over three segments leave either one segment equal and another with at most one error, or
 one error in each. So two fingerprints with at most three differing bits always share a key: for each ordered
-pair of segments the value of the first and an index of the second, or the indices of all three. Fingerprints
+pair of segments the value of the first and an index of the second, or the indices of all three, of which each
+side asks for some. Fingerprints
 that share a key are compared in full, and a key hands on links that join its members, one fewer than members at
 most, instead of all pairs.
 
@@ -113,18 +114,18 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 found.append((tag | parts[a] << 12 | own[b], fps))
                 rows, index = asked[b]
                 asks.append((tag | parts[a][rows] << 12 | index, fps[rows]))
+    # One error in each segment: the first two are asked for by the one side, the last by the other.
     tag = 15 << 40
-    found.append((tag | own[0] << 24 | own[1] << 12 | own[2], fps))
-    order = [np.argsort(rows, kind="stable") for rows, _ in asked]
-    rows, index = ([x[0][o] for x, o in zip(asked, order)], [x[1][o] for x, o in zip(asked, order)])
-    many = [np.bincount(r, minlength=len(fps)) for r in rows]
-    first = [np.concatenate([[0], np.cumsum(m)[:-1]]) for m in many]
-    each = many[0] * many[1] * many[2]
-    of = np.repeat(np.arange(len(fps)), each)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-    m1, m2 = many[1][of], many[2][of]
-    picked = [index[0][first[0][of] + k // (m1 * m2)], index[1][first[1][of] + k // m2 % m1], index[2][first[2][of] + k % m2]]
-    asks.append((tag | picked[0] << 24 | picked[1] << 12 | picked[2], fps[of]))
+    rows, index = asked[2]
+    found.append((tag | own[0][rows] << 24 | own[1][rows] << 12 | index, fps[rows]))
+    (rows0, index0), (rows1, index1) = asked[:2]
+    order = np.argsort(rows1, kind="stable")
+    many = np.bincount(rows1, minlength=len(fps))
+    first = np.cumsum(many) - many
+    each = many[rows0]
+    of = np.repeat(np.arange(len(rows0)), each)
+    at = order[first[rows0[of]] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)]
+    asks.append((tag | index0[of] << 24 | index1[at] << 12 | own[2][rows0[of]], fps[rows0[of]]))
     key = np.concatenate([x[0] for x in found + asks])
     fp = np.concatenate([x[1] for x in found + asks])
     ask = np.zeros(len(key), bool)
