@@ -1 +1 @@
-
+"""Scalar functions that queries share."""

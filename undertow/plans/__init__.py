@@ -1 +1,45 @@
+"""Queries of the engine, and the SQL that a second engine can check them with."""
 
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from undertow.plans import base, metrics, ops
+from undertow.plans.dialect import TABLES, Catalog
+
+
+def catalog() -> Catalog:
+    """All relations and queries."""
+    c = Catalog()
+    base.install(c)
+    for part in (ops.windows, ops.gates, ops.features, ops.perturbations, ops.validation, ops.adaptation, metrics.rows, metrics.aggregates, metrics.ranks, metrics.resampling, metrics.joins):
+        part(c)
+    return c
+
+
+CATALOG = catalog()
+
+#: Relations that many queries read. A session computes each once for a folder and keeps it, on disk where memory is short.
+HUBS = ("panel_sparse", "panel", "win", "hist", "channel_scale", "mase_scale", "fit", "fcst", "cell", "task_accuracy", "accuracy", "component", "unit_window", "context_distance", "treatment", "unit_fcst", "effect", "contract", "adapted", "residual", "power", "imputed", "group_state", "ablation_row", "boot", "scored")
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def hub(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = query(spark, sf_dir, name).persist()
+    return _kept[key]
+
+
+def query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A relation over the tables of a folder, on top of the hubs below it."""
+    others = frozenset(HUBS) - {name}
+    text = CATALOG.text(name, True, others)
+    read = {h: hub(spark, sf_dir, h) for h in HUBS if h in others and re.search(rf"\b(?:FROM|JOIN)\s+{h}\b", text)}
+    return CATALOG.run(spark, name, sf_dir, others, **read)
+
+
+def oracle(name: str) -> str:
+    return CATALOG.text(name, False)

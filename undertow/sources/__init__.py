@@ -1 +1 @@
-
+"""Sources and sinks: Arrow streams, compact contracts, predictions and manifests."""
