@@ -6,7 +6,7 @@ somewhere else, in the same document or another, goes. Windows are judged on the
 Anchors of 15 words are hashed only where their position modulo 21 is in a cover of which every difference
 modulo 21 is the difference of two members. For two equal windows of 35 words some offset below 21 puts both
 starts into the cover, and the anchor there is inside both, so they share an aligned anchor. Each repeated anchor
-is then extended to all windows around it, and these are compared by 128 bits of hash: first anchors, then
+is then extended to all windows around it, and these are compared by 96 bits of hash: first anchors, then
 windows, are dealt out by hash once, and no pairs are made.
 
 A passage that very many documents hold doesn't gather in one task: a task that scans texts passes on one row of
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from undertow.llm.arrow import map_rows
-from undertow.llm.checkpoints import cut
+from undertow.llm.checkpoints import table
 
 #: A perfect difference cover of the integers modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -80,7 +80,7 @@ def passed_on(hashes: list[np.ndarray], doc: np.ndarray, at: np.ndarray):
     key = hashes[0].copy()
     key[again] = (doc[again].astype(np.uint64) * np.uint64(BASES[0])) ^ (at[again].astype(np.uint64) * np.uint64(BASES[1]))
     place = at * 4 + np.where(again, 2, first)
-    columns = [key.view(np.int64), *[h.view(np.int64) for h in hashes[1:]], doc, place]
+    columns = [key.view(np.int64), *[h.view(np.int32)[::2] for h in hashes[1:]], doc, place]
     names = ["key", "check", "doc_id", "place"] if len(hashes) > 1 else ["key", "doc_id", "place"]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, size: int, starts_of) -> DataFrame:
     """Hash the runs that ``starts_of`` picks in every document, and pass them on; see ``passed_on``.
 
     ``starts_of`` takes the number of words and the columns after the text, and gives starts. Runs are hashed
-    ``size`` words long, by 64 bits if they only propose, by 128 if they decide.
+    ``size`` words long, by 64 bits if they only propose, by 96 if they decide.
     """
     wide = len(docs.columns) > 2
 
@@ -114,11 +114,12 @@ def scan(docs: DataFrame, size: int, starts_of) -> DataFrame:
     def flush(gathered):
         return passed_on([np.concatenate(h) for h in zip(*(g[0] for g in gathered))], np.concatenate([g[1] for g in gathered]), np.concatenate([g[2] for g in gathered]))
 
-    return docs.mapInArrow(run, "key long, check long, doc_id long, place long" if wide else "key long, doc_id long, place long")
+    return docs.mapInArrow(run, "key long, check int, doc_id long, place long" if wide else "key long, doc_id long, place long")
 
 
-def repeated(passed: DataFrame) -> DataFrame:
-    """doc_id and ``at`` of every row whose hash came more than once."""
+def repeated(passed: DataFrame, name: str) -> DataFrame:
+    """doc_id and the places of its rows whose hash came more than once, as the list ``name``."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -127,19 +128,29 @@ def repeated(passed: DataFrame) -> DataFrame:
             return
         *hashes, doc, place = [np.concatenate(c) for c in zip(*rows)]
         known = place & 3 == 2
+        rest = np.flatnonzero(~known)
+        order = rest[np.lexsort([h[rest] for h in hashes[::-1]])]
+        same = np.logical_and.reduce([h[order][1:] == h[order][:-1] for h in hashes])
+        if len(order):
+            known[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (place[order] & 3 == 1)
         if known.any():
             yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array((place[known] >> 2).astype(np.int32))], names=["doc_id", "at"])
-        rest = ~known
-        hashes, doc, place = [h[rest] for h in hashes], doc[rest], place[rest]
-        if not len(doc):
-            return
-        order = np.lexsort(hashes[::-1])
-        hashes, doc, place = [h[order] for h in hashes], doc[order], place[order]
-        same = np.logical_and.reduce([h[1:] == h[:-1] for h in hashes])
-        many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (place & 3 == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[many]), pa.array((place[many] >> 2).astype(np.int32))], names=["doc_id", "at"])
 
-    return passed.repartition("key").mapInArrow(run, "doc_id long, at int")
+    found = passed.repartition("key").mapInArrow(run, "doc_id long, at int")
+    return found.groupBy("doc_id").agg(F.collect_list("at").alias(name))
+
+
+BITS = 1 << 24
+
+
+def marked(ids: DataFrame, column: str = "doc_id") -> bytes:
+    """A bit for each value of a hash of the ids modulo ``BITS``: 2 MB at most, whatever the number of ids."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
+    rows = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
+    out = bytearray(BITS // 8)
+    for part, bits in rows:
+        out[4096 * (part - 1) : 4096 * part] = bits
+    return bytes(out)
 
 
 def around(n: int, anchors, size: int) -> np.ndarray:
@@ -174,20 +185,23 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
         at = np.arange(n - anchor + 1 if n >= size else 0, dtype=np.int64)
         return at[np.isin(at % PERIOD, COVER)]
 
-    anchors = repeated(scan(texts, anchor, covered)).groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
+    anchors = table(repeated(scan(texts, anchor, covered), "anchors"))
+    bits = marked(anchors)
 
     def judge():
-        def row(i, text, found):
+        def row(i, text, bit):
             words = split(text)
-            if found is not None and len(words) >= size:
-                return i, len(words), None, text, found
-            return i, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None
+            open_ = len(words) >= size and bits[bit >> 3] >> (bit & 7) & 1
+            return i, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), text if open_ else None
 
         return row
 
-    state = cut(map_rows(texts.join(anchors, "doc_id", "left"), "doc_id long, n_words long, kept_sha256 string, text string, anchors array<long>", judge))
-    open_ = state.where("text IS NOT NULL").select("doc_id", "text", "anchors")
-    windows = repeated(scan(open_, size, lambda n, found: around(n, found, size))).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    hashed = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    state = table(map_rows(hashed, "doc_id long, n_words long, kept_sha256 string, text string", judge))
+    none = F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text")
+    shut = state.where("text IS NULL").select("doc_id", "n_words", *none)
+    open_ = table(state.where("text IS NOT NULL").select("doc_id", "text").join(anchors, "doc_id", "left"))
+    windows = repeated(scan(open_.where("anchors IS NOT NULL"), size, lambda n, found: around(n, found, size)), "starts")
 
     def finish():
         def row(i, text, starts):
@@ -199,6 +213,5 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
 
         return row
 
-    shut = state.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     done = map_rows(open_.select("doc_id", "text").join(windows, "doc_id", "left"), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", finish)
     return shut.unionByName(done)
