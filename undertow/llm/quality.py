@@ -32,33 +32,33 @@ GAP = r"[\x20\x09-\x0D]"
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) in place of any such."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rest = [c for c in docs.columns if c not in (*names, "_t", "_w", "_s", "_p", "_b", "_n", "_l", "_v")]
+    rest = [c for c in docs.columns if c not in (*names, "_quality_t", "_quality_w", "_quality_s", "_quality_p", "_quality_b", "_quality_n", "_quality_l", "_quality_v")]
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(*rest, text.alias("_t"), F.array_remove(F.split(text, f"{GAP}+"), "").alias("_w"))
-    words = words.select("*", F.size("_w").alias("_n"), F.length(F.bin(F.size("_w").cast("long"))).cast("int").alias("_b"))
-    window = "shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | i"
-    windows = words.withColumn("_s", F.expr(f"if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, greatest(_n - 3, 0)), i -> {window})))"))
-    low = "cast({} & (shiftleft(1L, _b) - 1) as int)"
+    words = docs.select(*rest, text.alias("_quality_t"), F.array_remove(F.split(text, f"{GAP}+"), "").alias("_quality_w"))
+    words = words.select("*", F.size("_quality_w").alias("_quality_n"), F.length(F.bin(F.size("_quality_w").cast("long"))).cast("int").alias("_quality_b"))
+    window = "shiftleft(xxhash64(get(_quality_w, i), get(_quality_w, i + 1), get(_quality_w, i + 2)), _quality_b) | i"
+    windows = words.withColumn("_quality_s", F.expr(f"if(_quality_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, greatest(_quality_n - 3, 0)), i -> {window})))"))
+    low = "cast({} & (shiftleft(1L, _quality_b) - 1) as int)"
 
     def equal(a: str, b: str) -> str:
         at = low.format(a), low.format(b)
-        return f"shiftright({a}, _b) = shiftright({b}, _b)" + "".join(f" and get(_w, {at[0]} + {k}) = get(_w, {at[1]} + {k})" for k in range(3))
+        return f"shiftright({a}, _quality_b) = shiftright({b}, _quality_b)" + "".join(f" and get(_quality_w, {at[0]} + {k}) = get(_quality_w, {at[1]} + {k})" for k in range(3))
 
-    found = f"filter(_s, (x, i) -> coalesce({equal('x', 'get(_s, i - 1)')}, false) or coalesce({equal('x', 'get(_s, i + 1)')}, false))"
-    places = windows.withColumn("_p", F.expr(f"sort_array(transform({found}, x -> {low.format('x')}))"))
-    lines = F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    lines = places.withColumn("_l", lines)
-    covered = "cast(aggregate(transform(_p, (p, i) -> least(3, coalesce(get(_p, i + 1), p + 3) - p)), 0, (a, x) -> a + x) as bigint)"
+    found = f"filter(_quality_s, (x, i) -> coalesce({equal('x', 'get(_quality_s, i - 1)')}, false) or coalesce({equal('x', 'get(_quality_s, i + 1)')}, false))"
+    places = windows.withColumn("_quality_p", F.expr(f"sort_array(transform({found}, x -> {low.format('x')}))"))
+    lines = F.filter(F.split("_quality_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    lines = places.withColumn("_quality_l", lines)
+    covered = "cast(aggregate(transform(_quality_p, (p, i) -> least(3, coalesce(get(_quality_p, i + 1), p + 3) - p)), 0, (a, x) -> a + x) as bigint)"
     # One struct out of a generator: filters on the statistics stay above it, where they cost nothing. Pushed below,
     # they would put the sorting of all windows into the function of a single word.
     values = F.struct(
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.col("_quality_n").cast("long").alias("n_words"),
+        F.length(F.array_join("_quality_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_quality_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("_quality_l") - F.size(F.array_distinct("_quality_l"))).cast("long").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
     )
-    return lines.select(*rest, F.explode(F.array(values)).alias("_v")).select(*rest, *[F.col(f"_v.{n}").alias(n) for n in names])
+    return lines.select(*rest, F.explode(F.array(values)).alias("_quality_v")).select(*rest, *[F.col(f"_quality_v.{n}").alias(n) for n in names])
 
 
 def base_failed() -> Column:

@@ -58,6 +58,7 @@ def labelled_credentials(each: int = 120, seed: int = 7) -> dict[str, list[str]]
         lambda: "".join(word().title() for _ in range(rng.randint(4, 8))) + str(rng.randint(0, 9999)),
         lambda: "".join(word() for _ in range(rng.randint(5, 9))) + str(rng.randint(0, 9999)),
     )
+    kinds += (lambda: f"{word()}{rng.randint(0, 99)}.{word()}{rng.choice(('le', 'mple', ''))}.{rng.choice(('com', 'org', 'net'))}",) * 2
     return out | {"ordinary": [rng.choice(kinds)() for _ in range(4 * each)]}
 
 
@@ -88,6 +89,7 @@ class Automaton:
         self.keep_reached()
         alphabet = len({c for s in strings for c in s}) + 1
         self.log = [{c: math.log((n + 0.1) / (self.visits[at] + 0.1 * alphabet)) for c, n in t.items()} for at, t in enumerate(self.taken)]
+        self.end = [math.log((n + 0.1) / (v + 0.1 * alphabet)) for n, v in zip(self.ends, self.visits)]
         self.miss = [math.log(0.1 / (v + 0.1 * alphabet)) if v else -5.0 for v in self.visits]
 
     def differ(self, n1: int, f1: int, n2: int, f2: int) -> bool:
@@ -146,14 +148,15 @@ class Automaton:
         self.next = [{c: number[to] for c, to in self.next[at].items()} for at in order]
         self.taken = [self.taken[at] for at in order]
         self.visits = [self.visits[at] for at in order]
+        self.ends = [self.ends[at] for at in order]
 
     def score(self, s: str) -> float:
-        """Log likelihood for each character; one that no transition takes counts as rarely seen and stays."""
+        """Log likelihood, its end included, for each character; one that no transition takes counts as rarely seen and stays."""
         at, total = 0, 0.0
         for c in s:
             total += self.log[at].get(c, self.miss[at])
             at = self.next[at].get(c, at)
-        return total / len(s)
+        return (total + self.end[at]) / len(s)
 
 
 class Scanner:

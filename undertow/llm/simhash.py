@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of every component; all columns stay."""
+    """The document with the smallest doc_id of every component; all columns stay. Rows without doc_id stay, as do
+    all rows that repeat the id that is kept."""
     kept = near_duplicates(docs, bits).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

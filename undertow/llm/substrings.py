@@ -13,7 +13,8 @@ A passage that very many documents hold doesn't gather in one task: a task that
 each hash it has seen more than once; the others are known to repeat and go elsewhere by chance.
 
 Defined results: nulls and texts shorter than a window keep all words; a window that overlaps itself counts as
-starting twice; an empty table gives no rows; texts are read whole.
+starting twice; an empty table gives no rows; texts are read whole. A text without doc_id keeps its words and
+counts as nowhere else; rows that repeat an id share its places, so an id must not stand for different texts.
 """
 
 from __future__ import annotations
@@ -98,6 +99,8 @@ def scan(docs: DataFrame, size: int, starts_of) -> DataFrame:
         gathered, count = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] is None:
+                    continue
                 words = split(row[1])
                 starts = starts_of(len(words), *row[2:])
                 if len(starts):
@@ -159,6 +162,7 @@ def around(n: int, anchors, size: int) -> np.ndarray:
         return np.empty(0, np.int64)
     mark = np.zeros(n + PERIOD + 2, np.int64)
     at = np.asarray(anchors, np.int64)
+    at = at[at < n]
     np.add.at(mark, np.maximum(at - PERIOD + 1, 0), 1)
     np.add.at(mark, at + 1, -1)
     return np.flatnonzero(np.cumsum(mark)[: n - size + 1] > 0)
@@ -168,6 +172,7 @@ def strip(words: list[bytes], starts, size: int) -> list[bytes]:
     """The words that no window at ``starts`` covers."""
     mark = np.zeros(len(words) + 1, np.int64)
     at = np.asarray(starts, np.int64)
+    at = at[at + size <= len(words)]
     np.add.at(mark, at, 1)
     np.add.at(mark, at + size, -1)
     gone = np.cumsum(mark)[:-1] > 0
