@@ -36,9 +36,9 @@ def hub(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation over the tables of a folder, on top of the hubs below it."""
     others = frozenset(HUBS) - {name}
-    text = CATALOG.text(name, True, others)
-    read = {h: hub(spark, sf_dir, h) for h in HUBS if h in others and re.search(rf"\b(?:FROM|JOIN)\s+{h}\b", text)}
-    return CATALOG.run(spark, name, sf_dir, others, **read)
+    body = " ".join(CATALOG.sql[n] for n in CATALOG.needs(name, others))
+    read = {h: hub(spark, sf_dir, h) for h in HUBS if h in others and re.search(rf"\b(?:FROM|JOIN)\s+{h}\b", body)}
+    return CATALOG.run(spark, name, sf_dir, **read)
 
 
 def oracle(name: str) -> str:

@@ -16,7 +16,8 @@ def install(c: Catalog) -> None:
         UNION ALL SELECT 'lineitem_daily', 'D', concat(l_returnflag, l_linestatus), $DAY(l_shipdate), sum(l_quantity) FROM lineitem GROUP BY concat(l_returnflag, l_linestatus), $DAY(l_shipdate)""")
     c.add("span", "SELECT dataset, freq, min(ts) AS lo, max(ts) AS hi FROM raw GROUP BY dataset, freq")
     c.add("extent", "SELECT dataset, freq, lo, CASE WHEN freq = 'H' THEN $HOURS(lo, hi) ELSE $DAYS(lo, hi) END + 1 AS n FROM span")
-    c.add("chan", "SELECT dataset, channel, cast(row_number() OVER (PARTITION BY dataset ORDER BY channel) - 1 AS bigint) AS channel_idx FROM (SELECT DISTINCT dataset, channel FROM raw) q")
+    c.add("channels", "SELECT DISTINCT dataset, channel FROM raw")
+    c.add("chan", "SELECT a.dataset, a.channel, count(b.channel) AS channel_idx FROM channels a LEFT JOIN channels b ON a.dataset = b.dataset AND b.channel < a.channel GROUP BY a.dataset, a.channel")
     c.add("grid", "SELECT e.dataset, e.freq, k.channel, k.channel_idx, $SEQ(0, n - 1) AS t FROM extent e JOIN chan k ON e.dataset = k.dataset")
     c.add("obs", "SELECT r.dataset, r.channel, CASE WHEN r.freq = 'H' THEN $HOURS(lo, ts) ELSE $DAYS(lo, ts) END AS t, r.value FROM raw r JOIN extent e ON r.dataset = e.dataset")
     c.add("panel_sparse", "SELECT g.dataset, g.freq, g.channel, g.channel_idx, g.t, o.value FROM grid g LEFT JOIN obs o ON g.dataset = o.dataset AND g.channel = o.channel AND g.t = o.t")

@@ -1,7 +1,8 @@
 """Relations as SQL text, written once: run by Spark, or rendered for a second engine that checks results.
 
-A relation names the relations it reads; together they make one WITH query, so Catalyst sees the whole plan and
-prunes, pushes down and reuses exchanges across them. Macros hide where dialects differ.
+A relation names the relations it reads. Spark gets them as plans of each other, so Catalyst sees the whole and
+prunes, pushes down and reuses exchanges across them; a second engine gets one WITH query. Macros hide where
+dialects differ.
 """
 
 from __future__ import annotations
@@ -108,13 +109,19 @@ class Catalog:
         ctes = ", ".join(f"{n} AS ({body(n)})" for n in below)
         return f"WITH {ctes} {body(last)}" if ctes else body(last)
 
-    def run(self, spark: SparkSession, name: str, sf_dir: str | None = None, cut: frozenset[str] = frozenset(), **given: DataFrame) -> DataFrame:
-        """One relation as a DataFrame. Any relation or table below it can be given instead of computed or read."""
-        text = self.text(name, True, cut | frozenset(given))
+    def run(self, spark: SparkSession, name: str, sf_dir: str | None = None, **given: DataFrame) -> DataFrame:
+        """One relation as a DataFrame. Any relation or table below it can be given instead of computed or read.
+
+        Relations become plans of each other, without common table expressions, so one optimizer run sees all.
+        """
         frames = dict(given)
-        for t in TABLES:
-            if t not in frames and re.search(rf"\b(FROM|JOIN)\s+{t}\b", text):
-                frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        for t in frames:
-            text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b(?:\s+(?!{KEYWORD})(\w+))?", lambda m, t=t: f"{m[1]} {{{t}}} AS {m[2] or t}", text)
-        return spark.sql(text, **frames) if frames else spark.sql(text)
+        for n in self.needs(name, frozenset(given)):
+            text = expand(self.sql[n], True)
+            for t in TABLES:
+                if t not in frames and re.search(rf"\b(FROM|JOIN)\s+{t}\b", text):
+                    frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            used = {t: f for t, f in frames.items() if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)}
+            for t in used:
+                text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b(?:\s+(?!{KEYWORD})(\w+))?", lambda m, t=t: f"{m[1]} {{{t}}} AS {m[2] or t}", text)
+            frames[n] = spark.sql(text, **used) if used else spark.sql(text)
+        return frames[name]

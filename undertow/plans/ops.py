@@ -151,6 +151,7 @@ def validation(c: Catalog) -> None:
     q("v1_structure", "SELECT sample_id, r1 AS reason FROM rules")
     q("v2_distance", "SELECT sample_id, r2 AS reason FROM rules")
     q("v3_level", "SELECT sample_id, r3 AS reason FROM rules")
+    q("v4_identifiability", "SELECT window_id, channel_idx, coalesce(CASE WHEN n < 48 THEN 'history_too_short_for_holdout' WHEN held < 24 THEN 'holdout_too_short' WHEN abs(b) >= 0.98 THEN 'autoregression_not_stable' END, 'identifiable') AS reason FROM (SELECT a.window_id, a.channel_idx, count(*) AS n, count(*) - cast(floor(count(*) * 0.75) AS bigint) AS held, regr_slope(a.z, a.z1) AS b FROM ar_pair a WHERE a.z1 IS NOT NULL GROUP BY a.window_id, a.channel_idx) q")
     q("v5_horizon", "SELECT sample_id, r5 AS reason FROM rules")
     q("v6_scoring", "SELECT sample_id, r6 AS reason FROM rules")
     c.add("verdict", "SELECT sample_id, capability_id, coalesce(r1, r2, r3, r4, r5, r6) AS reason FROM rules")

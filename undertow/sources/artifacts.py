@@ -90,3 +90,15 @@ def ensure_stage(folder: str, stage: str, config: dict, upstream: dict[str, str]
     path.parent.mkdir(parents=True, exist_ok=True)
     write_json(str(path), contract)
     return contract
+
+
+def read_metric_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of external metrics: CSV files with a header, or JSON documents with a list ``rows``, under a DDL schema."""
+    if str(path).endswith(".csv"):
+        return spark.read.csv(path, schema=schema, header=True)
+    return spark.read.schema(f"rows array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True).selectExpr("inline(rows)")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header; doubles with ten significant digits."""
+    rows.select(*[F.format_string("%.10g", c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]).write.csv(path, header=True)
