@@ -95,7 +95,7 @@ class Catalog:
         def visit(n: str) -> None:
             if n in order or n in given:
                 return
-            for word in dict.fromkeys(re.findall(r"\b[a-z]\w*\b", re.sub(r"'[^']*'", "", self.sql[n] + " " + self.other.get(n, "")))):
+            for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z]\w*)", self.sql[n] + " " + self.other.get(n, ""))):
                 if word != n and word in self.sql:
                     visit(word)
             order.append(n)
