@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -114,14 +115,31 @@ class Catalog:
 
         Relations become plans of each other, without common table expressions, so one optimizer run sees all.
         """
-        frames = dict(given)
+        views = {t: view(t, f) for t, f in given.items()}
+        passing = []
         for n in self.needs(name, frozenset(given)):
             text = expand(self.sql[n], True)
             for t in TABLES:
-                if t not in frames and re.search(rf"\b(FROM|JOIN)\s+{t}\b", text):
-                    frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            used = {t: f for t, f in frames.items() if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)}
-            for t in used:
-                text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b(?:\s+(?!{KEYWORD})(\w+))?", lambda m, t=t: f"{m[1]} {{{t}}} AS {m[2] or t}", text)
-            frames[n] = spark.sql(text, **used) if used else spark.sql(text)
-        return frames[name]
+                if t not in views and re.search(rf"\b(FROM|JOIN)\s+{t}\b", text):
+                    views[t] = view(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+                    passing.append(views[t])
+            for t, v in views.items():
+                text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b(?:\s+(?!{KEYWORD})(\w+))?", lambda m, t=t, v=v: f"{m[1]} {v} AS {m[2] or t}", text)
+            out = spark.sql(text)
+            if n != name:
+                views[n] = view(n, out)
+                passing.append(views[n])
+        for v in passing:
+            spark.catalog.dropTempView(v)
+        return out
+
+
+NUMBERS = count()
+
+
+def view(name: str, df: DataFrame) -> str:
+    """The temporary view of a DataFrame. One that is given keeps its view: dropping it would end its persistence."""
+    if not hasattr(df, "undertow_view"):
+        df.undertow_view = f"undertow_{name}_{next(NUMBERS)}"
+        df.createOrReplaceTempView(df.undertow_view)
+    return df.undertow_view
