@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from undertow.llm.arrow import map_chunks
 
-CACHE = 400_000
+CACHE = 900_000
 
 #: The White_Space characters of Unicode, which are what \s means in the vocabulary's pattern.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -70,7 +70,8 @@ class Codec:
         self.any_pieces = regex.compile(PIECES)
         self.latin_pieces = re.compile(LATIN_PIECES)
         self.not_latin = re.compile(f"[^{LATIN}]")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.go: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
 
@@ -114,29 +115,40 @@ class Codec:
             until = self.rank[token]
             token = self.parts[token][side]
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b keeps the border: no merge across it comes before both are whole.
+    def compatible(self, key: int) -> bool:
+        """Whether merging the bytes of two tokens (a in the high half of the key, b in the low one) keeps their
+        border: no merge across it comes before both are whole.
 
         Of equal merges the leftmost comes first: a symbol of a is then used up by its own left neighbour, a
         symbol of b by the merge across.
         """
-        right = self.edge(b, 0)
-        for x, x_until in self.edge(a, 1):
+        right, out = self.edge(key & 0xFFFFFFFF, 0), True
+        for x, x_until in self.edge(key >> 32, 1):
             for y, y_until in right:
                 r = self.pair.get((x, y))
                 if r is not None and self.rank[x] < r < x_until and self.rank[y] < r <= y_until:
-                    return False
-        return True
-
-    def encode_pieces(self, pieces: list[str]) -> None:
+                    out = False
+        self.fits[key] = out
+        return out
+
+    def move(self, state: int, byte: int) -> int:
+        """The automaton's next state, kept for the next time."""
+        at = state
+        while at and byte not in self.step[at]:
+            at = self.back[at]
+        if len(self.go) >= 4 * CACHE:
+            self.go.clear()
+        out = self.go[state << 8 | byte] = self.step[at].get(byte, 0)
+        return out
+
+    def encode_pieces(self, pieces: set[str]) -> None:
         """Store the ids of pre-tokens. Sorted, each starts with the tokens that its predecessor's prefix ended in."""
-        step, back, ends, fits = self.step, self.back, self.ends, self.fits
+        go, ends, fits, compatible, stored = self.go, self.ends, self.fits, self.compatible, self.piece
         if len(fits) >= CACHE:
             fits.clear()
         states, ids, lengths = [0], [-1], [0]  # for each prefix: automaton state, its last token, that token's length
         before = b""
         for data, piece in sorted([(p.encode("utf-8", "surrogatepass"), p) for p in pieces]):
-            n = len(data)
             same = 0
             for x, y in zip(before, data):
                 if x != y:
@@ -144,33 +156,27 @@ class Codec:
                 same += 1
             del states[same + 1 :], ids[same + 1 :], lengths[same + 1 :]
             state = states[same]
-            for i in range(same, n):
-                byte = data[i]
-                nxt = step[state].get(byte)
-                while nxt is None and state:
-                    state = back[state]
-                    nxt = step[state].get(byte)
-                state = nxt or 0
+            i = same
+            for byte in data[same:]:
+                i += 1
+                key = state << 8 | byte
+                state = go[key] if key in go else self.move(state, byte)
                 for length, token in ends[state]:
-                    start = i + 1 - length
-                    if start:
-                        key = (ids[start], token)
-                        ok = fits.get(key)
-                        if ok is None:
-                            ok = fits[key] = self.compatible(*key)
-                        if not ok:
-                            continue
-                    break
+                    if length == i:
+                        break
+                    key = ids[i - length] << 32 | token
+                    if fits[key] if key in fits else compatible(key):
+                        break
                 states.append(state)
                 ids.append(token)
                 lengths.append(length)
             before = data
-            out, at = [], n
+            out, at = [], len(data)
             while at:
                 out.append(ids[at])
                 at -= lengths[at]
             out.reverse()
-            self.piece[piece] = struct.pack(f"<{len(out)}I", *out)
+            stored[piece] = struct.pack(f"<{len(out)}I", *out)
 
     def units(self, text: str) -> tuple[list[str], bool]:
         """Stretches of a text that start and end at pre-token borders; whether they hold plain Latin only."""
@@ -179,6 +185,14 @@ class Codec:
         # Single blanks and line ends only: a pre-token starts at each, so the stretches between are independent.
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"), True
 
+    def latin_cut(self, unit: str) -> list[str]:
+        """Pre-tokens of a plain Latin stretch; words, and words before a stop, without the pattern."""
+        if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":
+            return [unit]
+        if unit[-1] in ".," and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return [unit[:-1], unit[-1]]
+        return self.latin_pieces.findall(unit)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         parts: list[list[str]] = []  # of each text: stretches between added tokens, and these
@@ -188,25 +202,21 @@ class Codec:
             else:
                 parts.append([text] if text else [])
         cut = [[([p], True) if p in self.added else self.units(p) for p in x] for x in parts]
-        known = self.known
+        known, stored = self.known, self.piece
         if len(known) >= CACHE:
             known.clear()
-        if len(self.piece) >= CACHE:
-            self.piece.clear()
+        if len(stored) >= CACHE:
+            stored.clear()
         known.update(self.added)
         known[""] = b""
-        new: dict[str, list[str]] = {}
-        for x in cut:
-            for units, latin in x:
-                pieces = self.latin_pieces.findall if latin else None
-                for u in units:
-                    if u not in known and u not in new:
-                        new[u] = pieces(u) if pieces else [u]
-        stored = self.piece
-        self.encode_pieces(list({p for ps in new.values() for p in ps if p not in stored}))
+        latin = set().union(*[units for x in cut for units, plain in x if plain]).difference(known)
+        new = dict(zip(latin, map(self.latin_cut, latin)))
+        new.update((u, [u]) for u in set().union(*[units for x in cut for units, plain in x if not plain]).difference(known))
+        self.encode_pieces(set().union(*new.values()).difference(stored))
         for u, ps in new.items():
             known[u] = stored[ps[0]] if len(ps) == 1 else b"".join([stored[p] for p in ps])
-        return [b"".join([b"".join([known[u] for u in units]) for units, _ in x]) for x in cut]
+        get = known.__getitem__
+        return [b"".join([b"".join(map(get, units)) for units, _ in x]) for x in cut]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text."""
