@@ -208,6 +208,18 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert len(rows) == len(corpus) and simhash.near_duplicates(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_smallest_fingerprint_without_the_smallest_id_joins_its_component(spark):
+    base = " ".join(f"w{k}" for k in range(300))
+    texts = [base] + [base.replace(f"w{k} ", f"v{k} ", 1) for k in range(5, 295, 5)]
+    signed = lambda t: (f := simhash.fingerprint(t)) - (f >> 63 << 64)
+    near = [(a, b) for a in texts for b in texts if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3]
+    low, high = next((a, b) for a, b in near if signed(a) < signed(b))
+    docs = frame(spark, [(3, high), (4, low), (9, low), (7, "another text of its own")])
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert rows == {3: 3, 4: 3, 9: 3, 7: 7}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [3, 7]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     rows = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     heads = distinct.join(groups.select(F.col("component").alias("fp"), F.col("first").alias("of")), "fp").select("fp", F.least("first", "of").alias("least"))
     heads = heads.groupBy("fp").agg(F.min("least").alias("component_id"))
     members = groups.join(heads.withColumnRenamed("fp", "component"), "component").select(F.col("node").alias("fp"), "component_id")
+    members = members.unionByName(heads)  # components() has no row for the smallest node of each
     named = distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
