@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from undertow import plans, queries
 from undertow.functions.seeds import stable_seed, stable_seed_column
 from undertow.operators import kernels
 from undertow.plans import CATALOG
@@ -142,3 +143,11 @@ def test_external_metrics_come_from_csv_and_json(spark, tmp_path):
     assert sorted(r.model_id for r in artifacts.read_metric_rows(spark, str(tmp_path / "m.csv"), schema).collect()) == ["a", "b"]
     artifacts.write_json(str(tmp_path / "m.json"), {"rows": [{"model_id": "a", "mase": 1.5}]})
     assert artifacts.read_metric_rows(spark, str(tmp_path / "m.json"), schema).first().mase == 1.5
+
+
+def test_kernels_see_every_window_of_every_panel(spark):
+    folder = "/root/testdata/sf0.001"
+    windows = {r.window_id for r in plans.hub(spark, folder, "win").select("window_id").collect()}
+    assert {w.split("__")[0] for w in windows} == {"events_hourly", "orders_daily", "lineitem_daily"}
+    for name in ("p2_multi_seasonal", "p3_time_varying_seasonality", "p5_nonlinear_persistence", "p7_common_factor", "p10_covariate_impulse_response", "f2_fft_bins", "f11_factors", "m1_smoothing", "m3_harmonic_regression"):
+        assert {r.window_id for r in queries.queries()[name](spark, folder).select("window_id").distinct().collect()} == windows, name

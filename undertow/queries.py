@@ -13,8 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories of all windows of the hourly panel and the first of each daily one, for the numerical kernels."""
-    return plans.hub(spark, sf_dir, "hist").where("dataset = 'events_hourly'")
+    """Histories of all windows of all panels, for the numerical kernels."""
+    return plans.hub(spark, sf_dir, "hist")
 
 
 def rounded(df: DataFrame) -> DataFrame:
