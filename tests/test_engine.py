@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from undertow import plans, queries
 from undertow.functions.seeds import stable_seed, stable_seed_column
 from undertow.operators import kernels
@@ -151,3 +152,15 @@ def test_kernels_see_every_window_of_every_panel(spark):
     assert {w.split("__")[0] for w in windows} == {"events_hourly", "orders_daily", "lineitem_daily"}
     for name in ("p2_multi_seasonal", "p3_time_varying_seasonality", "p5_nonlinear_persistence", "p7_common_factor", "p10_covariate_impulse_response", "f2_fft_bins", "f11_factors", "m1_smoothing", "m3_harmonic_regression"):
         assert {r.window_id for r in queries.queries()[name](spark, folder).select("window_id").distinct().collect()} == windows, name
+
+
+def test_spectrum_covers_every_bin_channel_and_long_history(spark):
+    n, t = 1200, np.arange(1200)
+    series = [np.sin(2 * np.pi * b * t / n) + 0.5 * np.sin(2 * np.pi * (b + 100) * t / n) for b in (56, 84, 180)]
+    given = {"panel": panel(spark, [x.tolist() for x in series]), "win": win(spark, [n, 672], 4)}
+    for power in ({}, {"power": kernels.powers(CATALOG.run(spark, "hist", **given))}):
+        rows = CATALOG.run(spark, "f2_dominant_frequencies", **given, **power).collect()
+        top = {(r.window_id, r.channel_idx): r.bin for r in rows if r.place == 1}
+        assert {k: top["w0", k] for k in range(3)} == {0: 56, 1: 84, 2: 180} and len(top) == 6
+    spread = {r.window_id: (r.lo, r.hi) for r in CATALOG.run(spark, "power", **given).groupBy("window_id").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).collect()}
+    assert spread == {"w0": (2, 300), "w1": (2, 168)}

@@ -32,14 +32,20 @@ def detrend(x: np.ndarray) -> np.ndarray:
     return x - design @ np.linalg.lstsq(design, x, rcond=None)[0]
 
 
-def dominant_bins(x: np.ndarray, most: int = 16) -> np.ndarray:
-    """Bins of the largest spectral power, from 2 to a quarter of the length; none for short series."""
+def spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins from 2 to a quarter of the length and their spectral power; none for short series."""
     n = len(x)
     if n < 24:
-        return np.empty(0, int)
+        return np.empty(0, int), np.empty(0)
     power = np.abs(np.fft.rfft(detrend(x) * np.hanning(n))) ** 2
-    bins = np.arange(2, max(3, n // 4 + 1))
-    return bins[np.argsort(-power[bins], kind="stable")[:most]]
+    bins = np.arange(2, n // 4 + 1)
+    return bins, power[bins]
+
+
+def dominant_bins(x: np.ndarray, most: int = 16) -> np.ndarray:
+    """Bins of the largest spectral power, from 2 to a quarter of the length; none for short series."""
+    bins, power = spectrum(x)
+    return bins[np.argsort(-power, kind="stable")[:most]]
 
 
 def harmonic_fit(x: np.ndarray, period: float) -> tuple[float, float]:
@@ -240,6 +246,16 @@ def components(history: DataFrame, capability: str, base_seed: int = 0) -> DataF
     return history.select("window_id", "h", "channel_idx", "t", "value").groupBy("window_id").applyInPandas(run, "window_id string, capability_id string, available boolean, reason string, channel_idx long, step long, unit double")
 
 
+def powers(history: DataFrame) -> DataFrame:
+    """window_id, channel_idx, bin, power: the relation ``power``, by FFT instead of a sum for each bin."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins, power = spectrum(pdf.sort_values("t")["value"].to_numpy(float))
+        return pd.DataFrame({"window_id": pdf["window_id"].iloc[0], "channel_idx": pdf["channel_idx"].iloc[0], "bin": bins, "power": power})
+
+    return history.select("window_id", "channel_idx", "t", "value").groupBy("window_id", "channel_idx").applyInPandas(run, "window_id string, channel_idx long, bin long, power double")
+
+
 def spectra(history: DataFrame) -> DataFrame:
     """window_id, channel_idx, place, bin: the dominant bins of every channel."""
 

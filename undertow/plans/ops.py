@@ -91,7 +91,7 @@ def features(c: Catalog) -> None:
     c.add("line", "SELECT window_id, channel_idx, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM xy GROUP BY window_id, channel_idx")
     c.add("residual", "SELECT p.window_id, p.channel_idx, p.t, p.origin, p.m, p.value - l.a - l.b * p.x AS r FROM xy p JOIN line l ON p.window_id = l.window_id AND p.channel_idx = l.channel_idx")
     q("f1_linear_detrend", "SELECT window_id, channel_idx, $EXACT(sqrt(avg(r * r))) AS rms, count(*) AS n FROM residual GROUP BY window_id, channel_idx")
-    c.add("probe", "SELECT r.*, b.bin, 2 * pi() * b.bin * r.t / r.origin AS w FROM residual r JOIN (SELECT $SEQ(2, 40) AS bin) b ON b.bin <= r.origin / 4 WHERE r.channel_idx < 2 AND r.origin < 1000")
+    c.add("probe", "SELECT q.*, 2 * pi() * q.bin * q.t / q.origin AS w FROM (SELECT *, $SEQ(2, floor(origin / 4)) AS bin FROM residual WHERE origin >= 24) q")
     c.add("power", "SELECT window_id, channel_idx, bin, sum(r * hann * cos(w)) * sum(r * hann * cos(w)) + sum(r * hann * sin(w)) * sum(r * hann * sin(w)) AS power FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * t / (origin - 1)) AS hann FROM probe) q GROUP BY window_id, channel_idx, bin")
     q("f2_dominant_frequencies", "SELECT window_id, channel_idx, bin, cast(place AS bigint) AS place FROM (SELECT window_id, channel_idx, bin, row_number() OVER (PARTITION BY window_id, channel_idx ORDER BY power DESC, bin) AS place FROM power) q WHERE place <= 16")
     c.add("harmonic_sums", "SELECT window_id, channel_idx, half, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(s * r) AS sr, sum(c * r) AS cr, sum(r * r) AS rr, count(*) AS n FROM (SELECT window_id, channel_idx, CASE WHEN t < floor(origin / 2) THEN 1 ELSE 2 END AS half, sin(2 * pi() * t / m) AS s, cos(2 * pi() * t / m) AS c, r FROM residual) q GROUP BY window_id, channel_idx, half")
