@@ -164,3 +164,23 @@ def test_spectrum_covers_every_bin_channel_and_long_history(spark):
         assert {k: top["w0", k] for k in range(3)} == {0: 56, 1: 84, 2: 180} and len(top) == 6
     spread = {r.window_id: (r.lo, r.hi) for r in CATALOG.run(spark, "power", **given).groupBy("window_id").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).collect()}
     assert spread == {"w0": (2, 300), "w1": (2, 168)}
+
+
+def test_directed_regression_tries_every_lag_of_every_window(spark):
+    rng = np.random.default_rng(4)
+    x, e = rng.normal(size=240), rng.normal(size=240)
+    y = np.concatenate([e[:24], x[:-24] + 0.1 * e[24:]])
+    given = {"panel": panel(spark, [x.tolist(), y.tolist()]), "win": win(spark, [240, 80], 4)}
+    rows = CATALOG.run(spark, "f12_directed_regression", **given).collect()
+    assert {(r.window_id, r.lag) for r in rows} == {("w0", k) for k in range(1, 25)} | {("w1", k) for k in range(1, 11)}
+    z = [(v - v.mean()) / v.std() for v in (x, y)]
+    best = max((r for r in rows if r.window_id == "w0"), key=lambda r: r.gain)
+    design = np.column_stack([np.ones(216), z[1][23:-1], z[0][:-24]])
+    beta, left, base = (np.linalg.lstsq(design[:, :k], z[1][24:], rcond=None)[j] for k, j in ((3, 0), (3, 1), (2, 1)))
+    assert (best.driver, best.responder, best.lag, best.beta, best.gain) == (0, 1, 24, pytest.approx(beta[2], abs=2e-6), pytest.approx(1 - left[0] / base[0], abs=2e-6))
+
+
+def test_treated_accuracy_and_window_functions_keep_daily_panels(spark):
+    for name in ("a1_treatment_accuracy", "k13_window_functions", "f12_directed_regression", "p9_cross_series", "f13_autoregression"):
+        found = {r.window_id.split("__")[0] for r in queries.queries()[name](spark, "/root/testdata/sf0.001").select("window_id").distinct().collect()}
+        assert found == {"events_hourly", "orders_daily", "lineitem_daily"}, name

@@ -11,7 +11,7 @@ def rows(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
     q("a1_accuracy", "SELECT model_id, dataset, window_id, $EXACT(mase) AS mase, $EXACT(mae) AS mae FROM accuracy")
     c.add("treated_error", """SELECT f.model_id, f.window_id, f.capability_id, t.level, abs((c.yhat + t.gain * f.unit_hat) - (c.y + t.gain * f.unit)) AS e, c.scale FROM unit_fcst f JOIN treatment t ON f.window_id = t.window_id AND f.capability_id = t.capability_id
-        JOIN cell c ON c.model_id = f.model_id AND c.window_id = f.window_id AND c.channel_idx = f.channel_idx AND c.step = f.step WHERE f.dataset = 'events_hourly'""")
+        JOIN cell c ON c.model_id = f.model_id AND c.window_id = f.window_id AND c.channel_idx = f.channel_idx AND c.step = f.step""")
     q("a1_treatment_accuracy", "SELECT model_id, window_id, capability_id, level, $EXACT(avg(e / scale)) AS mase, $EXACT(avg(e)) AS mae FROM treated_error GROUP BY model_id, window_id, capability_id, level")
     q("a2_masked_accuracy", "SELECT model_id, window_id, count(CASE WHEN observed THEN 1 END) AS observed_cells, $EXACT(avg(CASE WHEN observed THEN abs(yhat - y) / scale END)) AS mase FROM cell GROUP BY model_id, window_id HAVING count(CASE WHEN observed THEN 1 END) > 0")
     q("a3_paired_effect", "SELECT model_id, window_id, capability_id, level, $EXACT(sse) AS sse, $EXACT(sst) AS sst, $EXACT(ssf) AS ssf, cells FROM effect")
@@ -80,7 +80,7 @@ def ranks(c: Catalog) -> None:
     q("k10_adjacent_gaps", "SELECT model_id, lead(model_id) OVER (ORDER BY v, model_id) AS next_model, $EXACT(lead(v) OVER (ORDER BY v, model_id) - v) AS gap FROM (SELECT model_id, round(avg(mase), 9) AS v FROM accuracy GROUP BY model_id) q")
     q("k11_candidate_pools", "SELECT window_id, channel_idx, bin, cast(place AS bigint) AS place, place <= 8 AS in_8, place <= 4 AS in_4, place <= 3 AS in_3 FROM (SELECT window_id, channel_idx, bin, row_number() OVER (PARTITION BY window_id, channel_idx ORDER BY power DESC, bin) AS place FROM power) q WHERE place <= 12")
     q("k12_head_tail", "SELECT run, $EXACT(avg(CASE WHEN a <= 3 THEN value END)) AS head, $EXACT(avg(CASE WHEN z <= 3 THEN value END)) AS tail FROM (SELECT run, value, row_number() OVER (PARTITION BY run ORDER BY step) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS z FROM checkpoint) q GROUP BY run")
-    q("k13_window_functions", "SELECT window_id, channel_idx, t, $EXACT(sum(value) OVER (PARTITION BY window_id, channel_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running, $EXACT(value - lag(value, 7) OVER (PARTITION BY window_id, channel_idx ORDER BY t)) AS diff FROM hist WHERE dataset = 'events_hourly'")
+    q("k13_window_functions", "SELECT window_id, channel_idx, t, $EXACT(sum(value) OVER (PARTITION BY window_id, channel_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running, $EXACT(value - lag(value, 7) OVER (PARTITION BY window_id, channel_idx ORDER BY t)) AS diff FROM hist")
     q("k14_output_order", "SELECT model_id, kind, capability_id, level, cast(row_number() OVER (ORDER BY model_id, kind, coalesce(capability_id, 'None'), level) AS bigint) AS position FROM (SELECT DISTINCT model_id, kind, capability_id, level FROM scored) q")
 
 

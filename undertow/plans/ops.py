@@ -107,8 +107,8 @@ def features(c: Catalog) -> None:
     q("f8_tail_extrapolation", "SELECT s.window_id, s.channel_idx, s.step, $EXACT(t.a + t.b * (s.origin + s.step)) AS value FROM steps s JOIN tail t ON s.window_id = t.window_id AND s.channel_idx = t.channel_idx")
     c.add("direction", "SELECT p.window_id, p.channel_idx, regr_slope((p.value - s.center) / s.scale, cast(p.t AS double) / (p.origin - 1)) AS whole, regr_slope(CASE WHEN p.t < floor(p.origin / 2) THEN (p.value - s.center) / s.scale END, cast(p.t AS double) / (p.origin - 1)) AS first_half, regr_slope(CASE WHEN p.t >= floor(p.origin / 2) THEN (p.value - s.center) / s.scale END, cast(p.t AS double) / (p.origin - 1)) AS second_half FROM hist p JOIN channel_scale s ON p.window_id = s.window_id AND p.channel_idx = s.channel_idx GROUP BY p.window_id, p.channel_idx")
     q("f9_trend_direction", "SELECT window_id, channel_idx, $EXACT(whole) AS slope, CASE WHEN abs(whole) >= 0.05 AND sign(whole) = sign(first_half) AND sign(whole) = sign(second_half) THEN cast(sign(whole) AS bigint) ELSE 0 END AS direction FROM direction")
-    c.add("lagged", "SELECT y.window_id, y.channel_idx AS responder, x.channel_idx AS driver, k.lag, y.z, lag(y.z) OVER (PARTITION BY y.window_id, y.channel_idx, x.channel_idx, k.lag ORDER BY y.t) AS own, x.z AS drive FROM zscore y CROSS JOIN (VALUES (1), (2), (7)) AS k(lag) JOIN zscore x ON x.window_id = y.window_id AND x.channel_idx <> y.channel_idx AND x.t = y.t - k.lag")
-    c.add("zscore", "SELECT p.window_id, p.channel_idx, p.t, (p.value - s.center) / s.scale AS z FROM hist p JOIN channel_scale s ON p.window_id = s.window_id AND p.channel_idx = s.channel_idx WHERE p.dataset = 'events_hourly'")
+    c.add("lagged", "SELECT y.window_id, y.channel_idx AS responder, x.channel_idx AS driver, y.lag, y.z, y.own, x.z AS drive FROM (SELECT *, $SEQ(1, least(24, greatest(1, floor(origin / 8)))) AS lag FROM (SELECT *, lag(z) OVER (PARTITION BY window_id, channel_idx ORDER BY t) AS own FROM zscore) q) y JOIN zscore x ON x.window_id = y.window_id AND x.channel_idx <> y.channel_idx AND x.t = y.t - y.lag")
+    c.add("zscore", "SELECT p.window_id, p.origin, p.channel_idx, p.t, (p.value - s.center) / s.scale AS z FROM hist p JOIN channel_scale s ON p.window_id = s.window_id AND p.channel_idx = s.channel_idx")
     c.add("moments", "SELECT window_id, responder, driver, lag, count(*) AS n, covar_pop(z, own) AS zo, covar_pop(z, drive) AS zd, covar_pop(own, drive) AS od, var_pop(own) AS oo, var_pop(drive) AS dd, var_pop(z) AS zz FROM lagged WHERE own IS NOT NULL GROUP BY window_id, responder, driver, lag")
     c.add("gain", "SELECT window_id, responder, driver, lag, (zd * oo - zo * od) / nullif(oo * dd - od * od, 0) AS beta, 1 - (zz - (zo * (zo * dd - zd * od) + zd * (zd * oo - zo * od)) / nullif(oo * dd - od * od, 0)) / nullif(zz - zo * zo / nullif(oo, 0), 0) AS gain FROM moments")
     q("f12_directed_regression", "SELECT window_id, responder, driver, lag, $EXACT(beta) AS beta, $EXACT(gain) AS gain, gain >= 0.0025 AS accepted FROM gain")
