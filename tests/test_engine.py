@@ -184,3 +184,16 @@ def test_treated_accuracy_and_window_functions_keep_daily_panels(spark):
     for name in ("a1_treatment_accuracy", "k13_window_functions", "f12_directed_regression", "p9_cross_series", "f13_autoregression"):
         found = {r.window_id.split("__")[0] for r in queries.queries()[name](spark, "/root/testdata/sf0.001").select("window_id").distinct().collect()}
         assert found == {"events_hourly", "orders_daily", "lineitem_daily"}, name
+
+
+def test_resampling_draws_as_often_as_the_survey_says(spark):
+    rows = spark.createDataFrame([(m, f"t{k}", float(k * s)) for m, s in (("a", 1), ("b", 2)) for k in range(5)], "model_id string, task_id string, mase double")
+    assert CATALOG.run(spark, "boot", task_accuracy=rows).groupBy("model_id").count().orderBy("model_id").collect() == [("a", 2000), ("b", 2000)]
+    index = spark.createDataFrame([("trend", "w0", 0, 2), ("trend", "w1", 1, 2)], "capability_id string, window_id string, i long, n long")
+    assert CATALOG.run(spark, "stratum_draw", stratum_index=index).select("rep").distinct().count() == 20000
+    given = {"panel": panel(spark, [np.random.default_rng(k).normal(size=100).tolist() for k in range(2)]), "win": win(spark, [96], 4)}
+    paths = CATALOG.run(spark, "f15_block_bootstrap", **given).collect()
+    assert len({(r.channel_idx, r.step, r.path) for r in paths}) == len(paths) == 2 * 4 * 128
+    for k in range(2):
+        for s in range(4):
+            assert abs(sum(r.innovation for r in paths if (r.channel_idx, r.step) == (k, s))) < 1e-3

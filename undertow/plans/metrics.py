@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from undertow.plans.dialect import Catalog
 
-REPS = 200
+REPS = 2000
+STRATUM_REPS = 20000
 
 
 def rows(c: Catalog) -> None:
@@ -87,7 +88,7 @@ def ranks(c: Catalog) -> None:
 def resampling(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
     c.add("task_index", "SELECT task_id, cast(row_number() OVER (ORDER BY task_id) - 1 AS bigint) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT task_id FROM task_accuracy) q")
-    c.add("resample", f"SELECT r.rep, i.i AS slot, cast(floor($U(concat('boot|', cast(r.rep AS string), '|', cast(i.i AS string))) * i.n) AS bigint) AS pick FROM (SELECT $SEQ(0, {REPS - 1}) AS rep) r CROSS JOIN task_index i")
+    c.add("resample", f"SELECT i.rep, i.i AS slot, cast(floor($U(concat('boot|', cast(i.rep AS string), '|', cast(i.i AS string))) * i.n) AS bigint) AS pick FROM (SELECT *, $SEQ(0, {REPS - 1}) AS rep FROM task_index) i")
     c.add("boot", "SELECT a.model_id, r.rep, avg(a.mase) AS v FROM resample r JOIN task_index i ON r.pick = i.i JOIN task_accuracy a ON a.task_id = i.task_id GROUP BY a.model_id, r.rep")
     c.add("boot_ci", "SELECT model_id, $PCT(v, 0.025) AS lo, $PCT(v, 0.975) AS hi FROM boot GROUP BY model_id")
     q("b1_bootstrap_ci", "SELECT model_id, $EXACT(lo) AS lo, $EXACT(hi) AS hi FROM boot_ci")
@@ -97,7 +98,7 @@ def resampling(c: Catalog) -> None:
     q("b3_paired_models", "SELECT p.left_model, p.right_model, count(*) AS tasks, $EXACT(avg(p.d)) AS difference, $EXACT(max(c.lo)) AS lo, $EXACT(max(c.hi)) AS hi FROM pair p JOIN pair_ci c ON p.left_model = c.left_model AND p.right_model = c.right_model GROUP BY p.left_model, p.right_model")
     c.add("stratum", "SELECT model_id, capability_id, window_id, sum(sse) AS sse, sum(sst) AS sst FROM effect WHERE status = 'scored' GROUP BY model_id, capability_id, window_id")
     c.add("stratum_index", "SELECT capability_id, window_id, cast(row_number() OVER (PARTITION BY capability_id ORDER BY window_id) - 1 AS bigint) AS i, count(*) OVER (PARTITION BY capability_id) AS n FROM (SELECT DISTINCT capability_id, window_id FROM stratum) q")
-    c.add("stratum_draw", "SELECT r.rep, s.capability_id, cast(floor($U(concat(s.capability_id, '|', cast(r.rep AS string), '|', cast(s.i AS string))) * s.n) AS bigint) AS pick FROM (SELECT $SEQ(0, 99) AS rep) r CROSS JOIN stratum_index s")
+    c.add("stratum_draw", f"SELECT s.rep, s.capability_id, cast(floor($U(concat(s.capability_id, '|', cast(s.rep AS string), '|', cast(s.i AS string))) * s.n) AS bigint) AS pick FROM (SELECT *, $SEQ(0, {STRATUM_REPS - 1}) AS rep FROM stratum_index) s")
     c.add("stratum_boot", "SELECT model_id, rep, avg(v) AS v FROM (SELECT s.model_id, d.rep, d.capability_id, avg(sqrt(s.sse / nullif(s.sst, 0))) AS v FROM stratum_draw d JOIN stratum_index i ON d.capability_id = i.capability_id AND d.pick = i.i JOIN stratum s ON s.capability_id = i.capability_id AND s.window_id = i.window_id GROUP BY s.model_id, d.rep, d.capability_id) q GROUP BY model_id, rep")
     q("b4_stratified_bootstrap", "SELECT model_id, $EXACT(avg(v)) AS mean, $EXACT($PCT(v, 0.025)) AS lo, $EXACT($PCT(v, 0.975)) AS hi FROM stratum_boot GROUP BY model_id")
     q("b5_significance", "SELECT model_id, count(CASE WHEN verdict = 'win' THEN 1 END) AS wins, count(CASE WHEN verdict = 'loss' THEN 1 END) AS losses, count(CASE WHEN verdict = 'ns' THEN 1 END) AS ns FROM (SELECT left_model AS model_id, CASE WHEN hi < 0 THEN 'win' WHEN lo > 0 THEN 'loss' ELSE 'ns' END AS verdict FROM pair_ci UNION ALL SELECT right_model, CASE WHEN lo > 0 THEN 'win' WHEN hi < 0 THEN 'loss' ELSE 'ns' END FROM pair_ci) q GROUP BY model_id")

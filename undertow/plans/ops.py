@@ -115,7 +115,7 @@ def features(c: Catalog) -> None:
     c.add("ar_pair", "SELECT window_id, channel_idx, z, lag(z) OVER (PARTITION BY window_id, channel_idx ORDER BY t) AS z1 FROM zscore")
     q("f13_autoregression", "SELECT window_id, channel_idx, $EXACT(regr_slope(z, z1)) AS b, $EXACT(regr_intercept(z, z1)) AS a, $EXACT(covar_pop(z - z1, z1 * abs(z1) / (1 + abs(z1)))) AS response_cov FROM ar_pair WHERE z1 IS NOT NULL GROUP BY window_id, channel_idx")
     q("f14_blocked_holdout", "SELECT window_id, channel_idx, count(CASE WHEN held THEN 1 END) AS held_cells, $EXACT(avg(CASE WHEN held THEN value END) - avg(CASE WHEN NOT held THEN value END)) AS shift FROM (SELECT window_id, channel_idx, value, t >= origin - greatest(24, floor(origin / 4)) AS held FROM hist) q GROUP BY window_id, channel_idx")
-    q("f15_block_bootstrap", "SELECT q.window_id, q.step, $EXACT(q.e - avg(q.e) OVER (PARTITION BY q.window_id, q.step)) AS innovation, q.path FROM (SELECT s.window_id, s.step, p.path, r.r AS e FROM steps s CROSS JOIN (SELECT $SEQ(0, 7) AS path) p JOIN residual r ON r.window_id = s.window_id AND r.channel_idx = s.channel_idx AND r.t = (cast(floor($U(concat(s.window_id, '|', cast(p.path AS string), '|', cast(cast(floor(s.step / 7) AS bigint) AS string))) * s.origin) AS bigint) + s.step % 7) % s.origin WHERE s.channel_idx = 0) q")
+    q("f15_block_bootstrap", "SELECT q.window_id, q.channel_idx, q.step, $EXACT(q.e - avg(q.e) OVER (PARTITION BY q.window_id, q.channel_idx, q.step)) AS innovation, q.path FROM (SELECT d.window_id, d.channel_idx, d.step, d.path, r.r AS e FROM (SELECT s.window_id, s.channel_idx, s.step, s.path, (cast(floor($U(concat(s.window_id, '|', cast(s.path AS string), '|', cast(cast(floor(s.step / 7) AS bigint) AS string))) * s.origin) AS bigint) + s.step % 7) % s.origin AS at_ FROM (SELECT *, $SEQ(0, 127) AS path FROM steps) s) d JOIN residual r ON r.window_id = d.window_id AND r.channel_idx = d.channel_idx AND r.t = d.at_) q")
     q("f18_impulse_convolution", "SELECT s.window_id, s.step, $EXACT(sum(i.unit * exp(-ln(2) * (s.origin + s.step - i.t) / 12))) AS response FROM steps s JOIN component i ON i.window_id = s.window_id AND i.channel_idx = s.channel_idx AND i.capability_id = 'predictable_intermittency' AND s.origin + s.step - i.t >= 0 AND s.origin + s.step - i.t < 48 WHERE s.channel_idx = 0 GROUP BY s.window_id, s.step")
 
 
