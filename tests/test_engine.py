@@ -197,3 +197,18 @@ def test_resampling_draws_as_often_as_the_survey_says(spark):
     for k in range(2):
         for s in range(4):
             assert abs(sum(r.innovation for r in paths if (r.channel_idx, r.step) == (k, s))) < 1e-3
+
+
+def test_treatments_and_roles_return_every_row(spark):
+    given = {"panel": panel(spark, [[k * (t % 7) + t for t in range(104)] for k in (1, 2, 3)]), "panel_sparse": panel(spark, [[None if t == 101 else k + t for t in range(104)] for k in (1, 2, 3)]), "win": win(spark, [96, 100], 4)}
+    run = lambda name: CATALOG.run(spark, name, **given).collect()
+    for name in ("p1_trend", "p4_regime_switching", "p6_predictable_intermittency"):
+        rows = run(name)
+        assert len(rows) == len({(r.window_id, r.channel_idx, r.t) for r in rows}) == 3 * (100 + 104), name
+        assert name != "p4_regime_switching" or len({r.unit for r in rows if (r.window_id, r.channel_idx) == ("w0", 0)}) == 2
+    for name in ("p1_trend_profiles", "p4_regime_profiles"):  # of a window and step, the same for all channels
+        assert len(rows := run(name)) == len({(r.window_id, r.t) for r in rows}) == 100 + 104, name
+    assert len(run("s5_window_roles")) == 2 * 3 * 4 and len(run("p16_legacy_shift")) == 3 * (96 + 100)
+    assert len(run("p12_contract_replay")) == 2 * 3 * 4 * 3 * 5
+    filled = {(r.window_id, r.channel_idx, r.step): r.value for r in run("n3_covariate_imputation")}
+    assert len(filled) == 24 and [filled["w1", k, 1] for k in range(3)] == [101, 102, 103]

@@ -11,7 +11,7 @@ def windows(c: Catalog) -> None:
     q("s2_target_projection", "SELECT item_id, freq, channel_idx, $SIZE(target) AS length FROM (SELECT item_id, freq, channel_idx, target FROM series) q")
     q("s3_source_summary", "SELECT item_id, min(freq) AS freq, count(DISTINCT freq) AS frequencies, min($SIZE(target)) AS min_length, count(*) AS records FROM series GROUP BY item_id")
     q("s4_task_ids", "SELECT base_id, cast(n AS bigint) AS duplicates, CASE WHEN n > 1 THEN concat(base_id, '_', substr(md5(config), 1, 8)) ELSE base_id END AS task_id FROM (SELECT base_id, config, count(*) OVER (PARTITION BY base_id) AS n FROM (SELECT o_orderpriority AS base_id, concat(o_orderpriority, o_orderstatus) AS config FROM orders GROUP BY o_orderpriority, o_orderstatus) q) q")
-    q("s5_window_roles", "SELECT u.window_id, u.step, $EXACT(u.value) AS truth, $EXACT(p.value) AS past_last, u.step % 7 AS known FROM fut u JOIN hist p ON u.window_id = p.window_id AND u.channel_idx = p.channel_idx AND p.t = p.origin - 1 WHERE u.channel_idx = 0")
+    q("s5_window_roles", "SELECT u.window_id, u.channel_idx, u.step, $EXACT(u.value) AS truth, $EXACT(p.value) AS past_last, u.step % 7 AS known FROM fut u JOIN hist p ON u.window_id = p.window_id AND u.channel_idx = p.channel_idx AND p.t = p.origin - 1")
     c.add("flat", "SELECT model_id, window_id, max(channel_idx) + 1 AS d, max(step) + 1 AS h, $LIST(yhat, step * 100 + channel_idx) AS forecast FROM fcst GROUP BY model_id, window_id")
     q("s9_prediction_rows", "SELECT model_id, window_id, h AS horizon, d AS target_dim, cast($SIZE(forecast) AS bigint) AS cells, $FORALL(forecast, x, x IS NOT NULL AND NOT isnan(x)) AS finite FROM flat")
     q("s10_prediction_reshape", "SELECT model_id, window_id, step, cast($SIZE(row_) AS bigint) AS width, $EXACT($GET(row_, 0)) AS first_channel FROM (SELECT model_id, window_id, step, $CUT(forecast, cast(step * d + 1 AS int), cast(d AS int)) AS row_ FROM (SELECT *, $SEQ(0, h - 1) AS step FROM flat) q) q")
@@ -50,7 +50,7 @@ def windows(c: Catalog) -> None:
     q("n1_history_imputation", "SELECT window_id, channel_idx, t, observed, $EXACT(value) AS value FROM imputed")
     q("n1_observed_fraction", "SELECT window_id, $EXACT(avg(CASE WHEN observed THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS observed_fraction, count(DISTINCT CASE WHEN observed THEN channel_idx END) AS seen_channels FROM imputed GROUP BY window_id")
     q("n2_future_placeholder", "SELECT l.window_id, l.channel_idx, l.step, l.value IS NOT NULL AS observed, $EXACT(coalesce(l.value, i.value)) AS value FROM label_cell l JOIN imputed i ON l.window_id = i.window_id AND l.channel_idx = i.channel_idx AND i.t = i.origin - 1")
-    q("n3_covariate_imputation", "SELECT l.window_id, l.step, $EXACT(coalesce(l.value, $LAST(l.value) OVER (PARTITION BY l.window_id ORDER BY l.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), i.value)) AS value FROM label_cell l JOIN imputed i ON l.window_id = i.window_id AND i.channel_idx = l.channel_idx AND i.t = i.origin - 1 WHERE l.channel_idx = 1")
+    q("n3_covariate_imputation", "SELECT l.window_id, l.channel_idx, l.step, $EXACT(coalesce(l.value, $LAST(l.value) OVER (PARTITION BY l.window_id, l.channel_idx ORDER BY l.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), i.value)) AS value FROM label_cell l JOIN imputed i ON l.window_id = i.window_id AND i.channel_idx = l.channel_idx AND i.t = i.origin - 1")
     q("n4_category_codes", "SELECT event_id, cast(dense_rank() OVER (ORDER BY event_type) - 1 AS double) AS code FROM events")
     q("n5_covariate_types", """SELECT name, CASE WHEN n = 0 THEN 'continuous' WHEN distincts <= 2 AND is_binary THEN 'binary' ELSE 'continuous' END AS semantic_type FROM (SELECT name, count(v) AS n, count(DISTINCT v) AS distincts, bool_and(v IN (0, 1)) AS is_binary FROM (
         SELECT 'weekend' AS name, cast(t % 7 IN (5, 6) AS int) AS v FROM panel UNION ALL SELECT 'hour', cast(t % 24 AS int) FROM panel UNION ALL SELECT 'empty', cast(NULL AS int) FROM panel UNION ALL SELECT 'constant', 1 FROM panel) q GROUP BY name) q""")
@@ -121,23 +121,23 @@ def features(c: Catalog) -> None:
 
 def perturbations(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
-    part = "SELECT window_id, channel_idx, t, $EXACT(unit) AS unit FROM component WHERE capability_id = '{}' AND t >= origin - 60"
+    part = "SELECT window_id, channel_idx, t, $EXACT(unit) AS unit FROM component WHERE capability_id = '{}'"
     q("p1_trend", part.format("trend"))
-    q("p1_trend_profiles", "SELECT window_id, t, $EXACT(rel) AS linear, $EXACT(greatest(0, t - 0.25 * (origin - 1)) / (origin - 1)) AS delayed, $EXACT(power(rel, 1.2)) AS curved, $EXACT(coalesce(sum(step) OVER (PARTITION BY window_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS piecewise FROM (SELECT w.window_id, w.origin, p.t, cast(p.t AS double) / (w.origin - 1) AS rel, CASE floor((p.t + 5) / 40) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END / cast(w.origin - 1 AS double) AS step FROM win w JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t < w.origin + w.h WHERE w.w = 0) q")
+    q("p1_trend_profiles", "SELECT window_id, t, $EXACT(rel) AS linear, $EXACT(greatest(0, t - 0.25 * (origin - 1)) / (origin - 1)) AS delayed, $EXACT(power(rel, 1.2)) AS curved, $EXACT(coalesce(sum(step) OVER (PARTITION BY window_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS piecewise FROM (SELECT w.window_id, w.origin, p.t, cast(p.t AS double) / (w.origin - 1) AS rel, CASE floor((p.t + 5) / 40) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END / cast(w.origin - 1 AS double) AS step FROM win w JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t < w.origin + w.h) q")
     q("p4_regime_switching", part.format("regime_switching"))
-    q("p4_regime_profiles", "SELECT window_id, t, $EXACT(p) AS ramp, $EXACT(p * p * (3 - 2 * p)) AS smooth, CASE WHEN p > 0 THEN 1 ELSE 0 END AS step FROM (SELECT w.window_id, p.t, least(greatest((p.t - floor(0.6 * w.origin)) / cast(24 AS double), 0), 1) AS p FROM win w JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t < w.origin + w.h WHERE w.w = 0) q")
+    q("p4_regime_profiles", "SELECT window_id, t, $EXACT(p) AS ramp, $EXACT(p * p * (3 - 2 * p)) AS smooth, CASE WHEN p > 0 THEN 1 ELSE 0 END AS step FROM (SELECT w.window_id, p.t, least(greatest((p.t - floor(0.6 * w.origin)) / cast(24 AS double), 0), 1) AS p FROM win w JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t < w.origin + w.h) q")
     q("p6_predictable_intermittency", part.format("predictable_intermittency"))
     q("p6_pulse_weights", "SELECT width, i, $EXACT(1.0) AS rectangular, $EXACT(1 - abs(i - (width - 1) / 2.0) / greatest(1, (width - 1) / 2.0 + 1)) AS triangular, $EXACT(exp(-ln(2) * i / greatest(1, width / 2.0))) AS decay FROM (SELECT width, $SEQ(0, width - 1) AS i FROM (VALUES (1), (2), (3), (5)) AS v(width)) q")
     q("p8_hierarchical_coherence", "SELECT window_id, 'hierarchical_coherence' AS capability_id, false AS available, 'qualification_only_no_generation' AS reason FROM win")
     q("p9_cross_series", "SELECT g.window_id, g.responder, g.driver, g.lag, y.t, $EXACT(s.scale * g.beta * x.z) AS unit FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(gain, 9) DESC, responder, driver, lag) AS place FROM gain) g JOIN zscore y ON y.window_id = g.window_id AND y.channel_idx = g.responder JOIN zscore x ON x.window_id = g.window_id AND x.channel_idx = g.driver AND x.t = y.t - g.lag JOIN channel_scale s ON s.window_id = g.window_id AND s.channel_idx = g.responder WHERE g.place = 1")
     q("p10_impulse_kernels", "SELECT i, $EXACT(exp(-ln(2) * i / 12.0)) AS exponential, $EXACT(i / 12.0 * exp(1 - i / 12.0)) AS delayed_gamma, $EXACT(greatest(0, 1 - i / 24.0)) AS triangular FROM (SELECT $SEQ(0, 48) AS i) q")
     q("p11_strength_scaling", "SELECT window_id, capability_id, level, $EXACT(coordinate) AS coordinate, $EXACT(gain) AS gain FROM treatment")
-    q("p12_contract_replay", "SELECT t.window_id, t.capability_id, t.level, u.channel_idx, u.t - u.origin AS step, $EXACT(p.value + t.gain * u.unit) AS treated FROM treatment t JOIN component u ON t.window_id = u.window_id AND t.capability_id = u.capability_id JOIN panel p ON p.dataset = u.dataset AND p.channel_idx = u.channel_idx AND p.t = u.t WHERE u.t >= u.origin AND t.level IN (1, 5)")
+    q("p12_contract_replay", "SELECT t.window_id, t.capability_id, t.level, u.channel_idx, u.t - u.origin AS step, $EXACT(p.value + t.gain * u.unit) AS treated FROM treatment t JOIN component u ON t.window_id = u.window_id AND t.capability_id = u.capability_id JOIN panel p ON p.dataset = u.dataset AND p.channel_idx = u.channel_idx AND p.t = u.t WHERE u.t >= u.origin")
     q("p13_availability", "SELECT window_id, capability_id, available, coalesce(reason, '') AS reason, CASE WHEN available THEN 5 ELSE 0 END AS levels FROM group_state")
     q("p14_sample_rows", "SELECT concat(window_id, '__baseline') AS sample_id, 'official_baseline' AS evaluation_table, cast(NULL AS string) AS capability_id, cast(0 AS bigint) AS level FROM win UNION ALL SELECT concat(t.window_id, '__', t.capability_id, '__level', cast(t.level AS string), '__aug0__treatment'), 'capability_treatment', t.capability_id, cast(t.level AS bigint) FROM treatment t JOIN group_state g ON t.window_id = g.window_id AND t.capability_id = g.capability_id AND g.available")
     c.add("ablation_plan", "SELECT window_id, d, $ARGMAX(loads) AS assessed, loads FROM (SELECT window_id, count(*) AS d, $LIST(scale, channel_idx) AS loads FROM channel_scale GROUP BY window_id) q")
     q("p15_input_ablation", "SELECT window_id, cast(d AS bigint) AS d, cast(assessed AS bigint) AS assessed, cast($SIZE($KEEP($RANGE(d), i, i <> assessed)) AS bigint) AS removed FROM ablation_plan")
-    q("p16_legacy_shift", "SELECT window_id, t, $EXACT(value) AS source, $EXACT(shifted) AS shifted FROM (SELECT a.window_id, a.t, a.value, b.value AS shifted FROM hist a JOIN hist b ON a.window_id = b.window_id AND a.channel_idx = b.channel_idx AND b.t = (a.t + floor(a.origin / 2)) % a.origin WHERE a.channel_idx = 0 AND a.t >= a.origin - 48) q")
+    q("p16_legacy_shift", "SELECT window_id, channel_idx, t, $EXACT(value) AS source, $EXACT(shifted) AS shifted FROM (SELECT a.window_id, a.channel_idx, a.t, a.value, b.value AS shifted FROM hist a JOIN hist b ON a.window_id = b.window_id AND a.channel_idx = b.channel_idx AND b.t = (a.t + floor(a.origin / 2)) % a.origin) q")
 
 
 def validation(c: Catalog) -> None:
