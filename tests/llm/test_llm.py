@@ -247,6 +247,19 @@ def test_lines_equal_brute_force(spark, corpus):
     assert linked and extra == 0 and missing <= 0.05 * sum(map(len, gone.values()))
 
 
+def test_short_and_unspaced_lines_meet(spark):
+    rng = random.Random(9)
+    pick = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    pairs = [("Read more about cookies", "Xead more about cookies"), ("=" * 90 + "a", "=" * 90)]
+    pairs += [(line, line[:-1]) for line in (pick(36) for _ in range(30))]
+    pairs += [(line, line[1:]) for n in range(16, 40) for line in ["".join(rng.choices("abcdefgh", k=n))]]
+    sets = [[{x[k : k + 12] for k in range(len(x) - 11)} for x in p] for p in pairs]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in sets]
+    docs = frame(spark, [(k * 2 + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)])
+    gone = {r.doc_id for r in lines.report(docs).collect() if r.n_removed}
+    assert near[0] and sum(near) > 50 and gone == {2 * k + 1 for k, n in enumerate(near) if n}
+
+
 def test_kept_lines_keep_columns(spark):
     docs = frame(spark, [(1, "one line of some length here\nand another line that is long"), (2, "something else entirely here\none line of some length here"), (3, None)])
     rows = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
