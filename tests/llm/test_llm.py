@@ -235,7 +235,7 @@ def test_lines_equal_brute_force(spark, corpus):
             if len(line.strip(" ")) >= lines.LEAST:
                 places[line].append((i, k))
     known = sorted(places, key=lambda x: places[x][0])
-    sets = [{x[k : k + 12] for k in range(len(x) - 11)} or {x} for x in known]
+    sets = [{x[k : k + lines.SHINGLE] for k in range(len(x) - lines.SHINGLE + 1)} or {x} for x in known]
     linked = [(a, b) for a in range(len(known)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     gone = defaultdict(set)
     for k, (line, root) in enumerate(zip(known, union_find(len(known), linked))):
@@ -253,7 +253,7 @@ def test_short_and_unspaced_lines_meet(spark):
     pairs = [("Read more about cookies", "Xead more about cookies"), ("=" * 90 + "a", "=" * 90)]
     pairs += [(line, line[:-1]) for line in (pick(36) for _ in range(30))]
     pairs += [(line, line[1:]) for n in range(16, 40) for line in ["".join(rng.choices("abcdefgh", k=n))]]
-    sets = [[{x[k : k + 12] for k in range(len(x) - 11)} for x in p] for p in pairs]
+    sets = [[{x[k : k + lines.SHINGLE] for k in range(len(x) - lines.SHINGLE + 1)} for x in p] for p in pairs]
     near = [len(a & b) >= 0.8 * len(a | b) for a, b in sets]
     docs = frame(spark, [(k * 2 + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)])
     gone = {r.doc_id for r in lines.report(docs).collect() if r.n_removed}
