@@ -4,16 +4,21 @@ A page becomes a tree: tags that authors leave out are implied (the end of a par
 row or cell before the next), unmatched ends are ignored, raw elements run to their own end tag. Visibility
 rules then decide what is shown: elements that never are, hidden attributes, inline styles, display and
 visibility in the page's own style sheets (type, class and id selectors), and closed details. What is left is
-laid out line by line. Both steps are loops, so that depth doesn't matter.
+laid out line by line. Both steps are loops, so that depth doesn't matter, and take time in proportion to the page:
+places of open elements are kept by tag, and once a tag is left open by a quote, the tags after it end at
+the next ``>`` whatever quotes say.
 
 Defined results: a null or empty page renders as an empty text; pages are read whole; text outside of any tag
-counts as body text; equal pages give equal texts.
+counts as body text; equal pages give equal texts, and rows that repeat stay; an empty table gives no rows; ``<`` without
+a ``>`` after it is text. Very long pages: list items are indented ``DEEPEST`` marks at most, and cells padded to
+``WIDEST`` characters and lines of tables to ``FARTHEST`` at most, so that a text is not much longer than its page; all of their words stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -43,7 +48,13 @@ ENDS = {
     "body": ({"head"}, {"html"}),
 }
 BARRIER = frozenset("table td th caption html template button".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+PLAIN = r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|[^<]+|<"
+TOKEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|""" + PLAIN, re.S)
+#: Where a quote has no end: tags up to the next >, and where no > comes, text.
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>|" + PLAIN, re.S)
+TEXT = re.compile(r"()()<!--.*?(?:-->|\Z)|()[^<]+|<", re.S)
+OPENING = re.compile(r"</?[A-Za-z]")
+DEEPEST, WIDEST, FARTHEST = 32, 200, 400
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
@@ -64,59 +75,78 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The open elements, outermost first, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """End all elements from a place on."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of some tags; 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def end(self, tags: set[str], limits) -> None:
+        """End the outermost open element of ``tags`` above the nearest of ``limits``."""
+        if not any(self.places.get(t) for t in tags):
+            return
+        limit = self.nearest(limits)
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, limit)) < len(p)]
+        if found:
+            self.cut(min(found))
+
+
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and its style sheets."""
     root = Node("body", {})
-    stack, styles, at = [root], [], 0
-    while match := TOKEN.match(page, at):
+    open_, styles, at = Open(root), [], 0
+    tokens, last = TOKEN, page.rfind(">")
+    while at < len(page):
+        match = (tokens if at < last else TEXT).match(page, at)
+        if tokens is TOKEN and match[0] == "<" and at < last and OPENING.match(page, at):
+            tokens = LOOSE
+            continue
         at = match.end()
         tag = match[2]
         if not tag:
             if match[0][0] != "<" or match[0] == "<":
-                stack[-1].children.append(unescape(match[0]) if "&" in match[0] else match[0])
+                open_.stack[-1].children.append(unescape(match[0]) if "&" in match[0] else match[0])
             continue
         tag = tag.lower()
         if match[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BARRIER and tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot"):
-                    break
+            place = open_.nearest((tag,))
+            if place and (tag in ("table", "body", "html", "tr", "tbody", "thead", "tfoot") or place >= open_.nearest(BARRIER)):
+                open_.cut(place)
             continue
         if tag in CLOSES_P:
-            end_open(stack, {"p"}, BARRIER)
+            open_.end({"p"}, BARRIER)
         if tag in ENDS:
-            end_open(stack, *ENDS[tag])
-        if tag in ("html", "body") and len(stack) == 1:
+            open_.end(*ENDS[tag])
+        if tag in ("html", "body") and len(open_.stack) == 1:
             root.attrs = attributes(match[3]) | root.attrs
             continue
         node = Node(tag, attributes(match[3]) if match[3].strip(" /\t\r\n") else {})
-        stack[-1].children.append(node)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             inside = page[at : end.start() if end else len(page)]
             if tag == "style":
                 styles.append(inside)
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
-            at = page.find(">", end.start()) + 1 if end and page.find(">", end.start()) >= 0 else len(page)
+            at = page.find(">", end.start()) + 1 if end and end.start() < last else len(page)
         elif tag not in VOID and not (match[3].endswith("/") and tag in ("svg", "path", "g")):
-            stack.append(node)
+            open_.push(node)
     return root, styles
 
 
-def end_open(stack: list[Node], tags: set[str], limits) -> None:
-    """End the outermost open element of ``tags`` above the nearest of ``limits``."""
-    found = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            found = k
-        elif stack[k].tag in limits:
-            break
-    if found:
-        del stack[found:]
-
-
 def hidden_selectors(styles: list[str]) -> set[str]:
     """Plain selectors (a type, .class or #id) that the page's style sheets hide."""
     out = set()
@@ -169,8 +199,9 @@ class Lines:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        prefix = "".join(m[0] for m in self.marks)
-        for m in self.marks:
+        shown = self.marks[-DEEPEST:]
+        prefix = "".join(m[0] for m in shown)
+        for m in shown:
             m[0] = m[1]
         self.lines.append((prefix + line).rstrip(" "))
 
@@ -180,25 +211,29 @@ class Lines:
 
 
 def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell, columns it spans) with columns aligned, two blanks apart; cells may have several lines."""
+    """Rows of (cell, columns it spans) with columns aligned, two blanks apart; cells may have several lines. A line is
+    padded where a next text follows, up to ``FARTHEST``."""
     width: list[int] = []
     for row in rows:
         at = 0
         for cell, span in row:
             width += [0] * (at + span - len(width))
             if span == 1:
-                width[at] = max(width[at], *(len(x) for x in cell.split("\n")))
+                width[at] = min(WIDEST, max(width[at], *(len(x) for x in cell.split("\n"))))
             at += span
+    begins = [0]
+    for w in width:
+        begins.append(begins[-1] + w + 2)
     out = []
     for row in rows:
-        cells = [cell.split("\n") for cell, _ in row]
-        for k in range(max(map(len, cells), default=0)):
-            at, parts = 0, []
-            for lines, (_, span) in zip(cells, row):
-                room = sum(width[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        lines = [""] * max((cell.count("\n") + 1 for cell, _ in row), default=0)
+        at = 0
+        for cell, span in row:
+            for k, line in enumerate(cell.split("\n")):
+                if line:
+                    lines[k] = (lines[k] + "  " if lines[k] else "").ljust(min(FARTHEST, begins[at])) + line
+            at += span
+        out += [line.rstrip() for line in lines]
     return out
 
 
