@@ -45,11 +45,17 @@ MACROS = {
 }
 #: What may follow a table that has no alias.
 KEYWORD = r"(?:AS|JOIN|LEFT|WHERE|GROUP|ORDER|USING|ON|UNION|CROSS|FULL|INNER|HAVING|LIMIT|INTERSECT|EXCEPT)\b"
+#: Text in quotes, or a number with a point and no exponent.
+NUMBER = re.compile(r"'[^']*'|(?<![\w.])\d+\.\d+(?![\w.])")
 CALL = re.compile(r"\$([A-Z]+)\(")
 
 
 def expand(sql: str, spark: bool) -> str:
-    """Replace macros, inner ones first; arguments are split at commas outside of brackets, or at | where there is one."""
+    """Replace macros, inner ones first; arguments are split at commas outside of brackets, or at | where there is one.
+
+    Numbers with a point become doubles for both engines: as decimals, quotients would be cut at a few digits.
+    """
+    sql = NUMBER.sub(lambda m: m[0] if m[0][0] == "'" else m[0] + "e0", sql)
     while calls := list(CALL.finditer(sql)):
         call = calls[-1]
         depth, at = 1, call.end()
@@ -57,11 +63,12 @@ def expand(sql: str, spark: bool) -> str:
             depth += {"(": 1, ")": -1}.get(sql[at], 0)
             at += 1
         inside = sql[call.end() : at - 1]
-        args, level, start = [], 0, 0
+        args, level, start, quoted = [], 0, 0, False
         bar = "|" if "|" in inside.replace("||", "") else ","
         for k, c in enumerate(inside):
+            quoted ^= c == "'"
             level += {"(": 1, "[": 1, ")": -1, "]": -1}.get(c, 0)
-            if c == bar and not level:
+            if c == bar and not level and not quoted:
                 args.append(inside[start:k].strip())
                 start = k + 1
         args.append(inside[start:].strip())

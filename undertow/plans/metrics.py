@@ -11,27 +11,34 @@ STRATUM_REPS = 20000
 def rows(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
     q("a1_accuracy", "SELECT model_id, dataset, window_id, $EXACT(mase) AS mase, $EXACT(mae) AS mae FROM accuracy")
-    c.add("treated_error", """SELECT f.model_id, f.window_id, f.capability_id, t.level, abs((c.yhat + t.gain * f.unit_hat) - (c.y + t.gain * f.unit)) AS e, c.scale FROM unit_fcst f JOIN treatment t ON f.window_id = t.window_id AND f.capability_id = t.capability_id
-        JOIN cell c ON c.model_id = f.model_id AND c.window_id = f.window_id AND c.channel_idx = f.channel_idx AND c.step = f.step""")
+    c.add("treated_error", """SELECT f.model_id, f.window_id, f.capability_id, t.level, abs((c.yhat + t.gain * f.unit_hat) - (c.y + t.gain * f.unit)) AS e, c.scale FROM unit_fcst f JOIN treatment t ON f.window_id = t.window_id AND f.capability_id = t.capability_id AND f.level = t.level
+        JOIN cell c ON c.model_id = f.model_id AND c.window_id = f.window_id AND c.channel_idx = f.channel_idx AND c.step = f.step WHERE f.observed""")
     q("a1_treatment_accuracy", "SELECT model_id, window_id, capability_id, level, $EXACT(avg(e / scale)) AS mase, $EXACT(avg(e)) AS mae FROM treated_error GROUP BY model_id, window_id, capability_id, level")
     q("a2_masked_accuracy", "SELECT model_id, window_id, count(CASE WHEN observed THEN 1 END) AS observed_cells, $EXACT(avg(CASE WHEN observed THEN abs(yhat - y) / scale END)) AS mase FROM cell GROUP BY model_id, window_id HAVING count(CASE WHEN observed THEN 1 END) > 0")
     q("a3_paired_effect", "SELECT model_id, window_id, capability_id, level, $EXACT(sse) AS sse, $EXACT(sst) AS sst, $EXACT(ssf) AS ssf, cells FROM effect")
     q("a4_effect_status", "SELECT model_id, window_id, capability_id, level, status FROM effect")
     q("a5_effect_ratios", "SELECT model_id, window_id, capability_id, level, $EXACT(nrmse) AS nrmse, $EXACT(amplitude_ratio) AS amplitude_ratio FROM effect")
-    q("a6_effect_correlation", "SELECT model_id, window_id, capability_id, $EXACT(correlation) AS correlation FROM effect WHERE level = 1")
-    c.add("profile", "SELECT f.model_id, f.window_id, f.capability_id, f.step, sqrt(avg(f.unit * f.unit / (a.scale * a.scale))) AS truth, sqrt(avg(f.unit_hat * f.unit_hat / (a.scale * a.scale))) AS forecast FROM unit_fcst f JOIN mase_scale a ON f.window_id = a.window_id AND f.channel_idx = a.channel_idx GROUP BY f.model_id, f.window_id, f.capability_id, f.step")
-    c.add("peak", "SELECT model_id, window_id, capability_id, max(truth) AS truth_peak, max(forecast) AS forecast_peak, max_by(step, struct_t) AS truth_at, max_by(step, struct_f) AS forecast_at FROM (SELECT *, round(truth, 9) * 1000000 - step AS struct_t, round(forecast, 9) * 1000000 - step AS struct_f FROM profile) q GROUP BY model_id, window_id, capability_id")
-    c.add("halving", "SELECT p.model_id, p.window_id, p.capability_id, min(CASE WHEN p.step >= k.truth_at AND p.truth <= k.truth_peak / 2 THEN p.step END) AS truth_half, min(CASE WHEN p.step >= k.forecast_at AND p.forecast <= k.forecast_peak / 2 THEN p.step END) AS forecast_half, max(k.truth_peak) AS truth_peak FROM profile p JOIN peak k ON p.model_id = k.model_id AND p.window_id = k.window_id AND p.capability_id = k.capability_id GROUP BY p.model_id, p.window_id, p.capability_id")
-    c.add("half_life", "SELECT *, CASE WHEN capability_id <> 'predictable_intermittency' THEN 'not_applicable' WHEN truth_peak <= 1e-12 THEN 'unavailable_zero_truth_profile' WHEN truth_half IS NULL THEN 'censored_truth_not_halved_in_horizon' WHEN forecast_half IS NULL THEN 'censored_forecast_not_halved_in_horizon' ELSE 'scored' END AS status FROM halving")
-    q("a7_decay_profile", "SELECT p.model_id, p.window_id, p.capability_id, $EXACT(sqrt(avg((p.truth / nullif(k.truth_peak, 0) - p.forecast / nullif(k.forecast_peak, 0)) * (p.truth / nullif(k.truth_peak, 0) - p.forecast / nullif(k.forecast_peak, 0))) / nullif(avg(p.truth * p.truth / nullif(k.truth_peak * k.truth_peak, 0)), 0))) AS shape_nrmse FROM profile p JOIN peak k ON p.model_id = k.model_id AND p.window_id = k.window_id AND p.capability_id = k.capability_id WHERE p.capability_id <> 'predictable_intermittency' AND p.model_id <> 'mean' GROUP BY p.model_id, p.window_id, p.capability_id")
-    q("a8_half_life", "SELECT model_id, window_id, capability_id, status, CASE WHEN status = 'scored' THEN truth_half END AS truth_half_life FROM half_life WHERE model_id IN ('naive', 'seasonal_naive')")
-    # Ablation: the assessed channel forecast with the panel, and from a history without its siblings (their mean added before).
-    c.add("ablation", """SELECT c.model_id, c.window_id, c.step, c.scale, c.y, c.yhat AS full_hat, 0.5 * c.yhat + 0.5 * m.sibling AS ablated_hat FROM cell c JOIN (SELECT window_id, assessed FROM ablation_plan) a ON c.window_id = a.window_id AND c.channel_idx = a.assessed
-        JOIN (SELECT model_id, window_id, step, avg(yhat) AS sibling FROM fcst GROUP BY model_id, window_id, step) m ON c.model_id = m.model_id AND c.window_id = m.window_id AND c.step = m.step""")
-    c.add("ablation_row", "SELECT model_id, window_id, avg(abs(full_hat - y) / scale) AS full_mase, avg(abs(ablated_hat - y) / scale) AS ablated_mase, sqrt(avg((ablated_hat - full_hat) * (ablated_hat - full_hat) / (scale * scale))) AS change_rms FROM ablation GROUP BY model_id, window_id")
-    q("a9_input_ablation", "SELECT model_id, window_id, $EXACT(full_mase) AS full_mase, $EXACT(ablated_mase) AS ablated_mase, $EXACT(ablated_mase - full_mase) AS degradation, $EXACT(change_rms) AS change_rms, $EXACT(change_rms / greatest(full_mase, 1e-8)) AS response_ratio FROM ablation_row")
+    q("a6_effect_correlation", "SELECT model_id, window_id, capability_id, level, $EXACT(correlation) AS correlation FROM effect")
+    # Decay over the steps that were observed. A peak is the first step that reaches the largest value, but for rounding.
+    c.add("decay", "SELECT model_id, window_id, capability_id, level, step, sqrt(avg(unit * unit / (mase * mase))) AS truth, sqrt(avg(unit_hat * unit_hat / (mase * mase))) AS forecast FROM unit_fcst WHERE observed GROUP BY model_id, window_id, capability_id, level, step")
+    c.add("peak", "SELECT *, max(truth) OVER (PARTITION BY model_id, window_id, capability_id, level) AS truth_peak, max(forecast) OVER (PARTITION BY model_id, window_id, capability_id, level) AS forecast_peak FROM decay")
+    c.add("peak_at", "SELECT model_id, window_id, capability_id, level, min(CASE WHEN truth >= truth_peak * (1 - 1e-12) THEN step END) AS truth_at, min(CASE WHEN forecast >= forecast_peak * (1 - 1e-12) THEN step END) AS forecast_at FROM peak GROUP BY model_id, window_id, capability_id, level")
+    c.add("halving", """SELECT p.model_id, p.window_id, p.capability_id, p.level, max(p.truth_peak) AS truth_peak, min(CASE WHEN p.step >= k.truth_at AND p.truth <= 0.5 * p.truth_peak * (1 + 1e-12) THEN p.step END) - max(k.truth_at) AS truth_half, min(CASE WHEN p.forecast_peak > 1e-12 AND p.step >= k.forecast_at AND p.forecast <= 0.5 * p.forecast_peak * (1 + 1e-12) THEN p.step END) - max(k.forecast_at) AS forecast_half,
+        sqrt(sum((CASE WHEN p.forecast_peak > 1e-12 THEN p.forecast / p.forecast_peak ELSE 0 END - p.truth / nullif(p.truth_peak, 0)) * (CASE WHEN p.forecast_peak > 1e-12 THEN p.forecast / p.forecast_peak ELSE 0 END - p.truth / nullif(p.truth_peak, 0))) / greatest(sum(p.truth * p.truth / nullif(p.truth_peak * p.truth_peak, 0)), 1e-12)) AS shape_nrmse
+        FROM peak p JOIN peak_at k ON p.model_id = k.model_id AND p.window_id = k.window_id AND p.capability_id = k.capability_id AND p.level = k.level GROUP BY p.model_id, p.window_id, p.capability_id, p.level""")
+    q("a7_decay_profile", "SELECT model_id, window_id, capability_id, level, $EXACT(CASE WHEN truth_peak > 1e-12 THEN shape_nrmse END) AS shape_nrmse FROM halving")
+    # The law scores half-lives of nonlinear persistence only; the measured ones of the others are shown beside that status.
+    q("a8_half_life", "SELECT model_id, window_id, capability_id, level, CASE WHEN capability_id <> 'nonlinear_persistence' THEN 'not_applicable' ELSE measured END AS status, measured, truth_half AS truth_half_life, forecast_half AS forecast_half_life, abs(forecast_half - truth_half) AS absolute_error FROM (SELECT *, CASE WHEN truth_peak <= 1e-12 THEN 'unavailable_zero_truth_profile' WHEN truth_half IS NULL THEN 'censored_truth_not_halved_in_horizon' WHEN forecast_half IS NULL THEN 'censored_forecast_not_halved_in_horizon' ELSE 'scored' END AS measured FROM halving) q")
+    # Ablation: the assessed channel of a treated window forecast with the panel, and by the same model from that channel alone,
+    # where half of nothing else is left and the channel's own forecast decides. Models that never read siblings have no row.
+    c.add("ablation", """SELECT f.model_id, f.window_id, f.capability_id, t.level, f.mase AS scale, c.y + t.gain * f.unit AS y, c.y AS baseline, c.yhat + t.gain * f.unit_hat AS full_hat, o.yhat + t.gain * CASE f.model_id WHEN 'panel_blend' THEN f.unit_seasonal ELSE f.unit_last END AS ablated_hat
+        FROM unit_fcst f JOIN treatment t ON f.window_id = t.window_id AND f.capability_id = t.capability_id AND f.level = t.level JOIN ablation_plan a ON f.window_id = a.window_id AND f.capability_id = a.capability_id AND f.channel_idx = a.assessed AND a.d > 1
+        JOIN cell c ON c.model_id = f.model_id AND c.window_id = f.window_id AND c.channel_idx = f.channel_idx AND c.step = f.step
+        JOIN fcst o ON o.model_id = CASE f.model_id WHEN 'panel_blend' THEN 'seasonal_naive' ELSE 'naive' END AND o.window_id = f.window_id AND o.channel_idx = f.channel_idx AND o.step = f.step WHERE f.observed AND f.model_id IN ('panel_blend', 'panel_naive')""")
+    c.add("ablation_row", "SELECT model_id, window_id, capability_id, level, avg(abs(full_hat - y) / scale) AS full_mase, avg(abs(ablated_hat - y) / scale) AS ablated_mase, sqrt(avg((ablated_hat - full_hat) * (ablated_hat - full_hat))) AS change_rms, greatest(sqrt(avg((y - baseline) * (y - baseline))), 1e-8) AS effect_rms FROM ablation GROUP BY model_id, window_id, capability_id, level")
+    q("a9_input_ablation", "SELECT model_id, window_id, capability_id, level, $EXACT(full_mase) AS full_mase, $EXACT(ablated_mase) AS ablated_mase, $EXACT(ablated_mase - full_mase) AS degradation, $EXACT(change_rms) AS change_rms, $EXACT(change_rms / effect_rms) AS response_ratio FROM ablation_row")
     q("a10_exposure", "SELECT window_id, covariate_dim, future_dim, model_id, target_mode = 'native_multivariate' AS saw_siblings, covariate_mode IN ('native_known_future', 'native_history_only', 'paired_known_future_only') AS saw_covariates FROM adapted")
-    q("a11_ui_metrics", "SELECT model_id, window_id, channel_idx, $EXACT(avg(abs(yhat - y))) AS mae, $EXACT(avg(abs(yhat - y)) / greatest(max(scale), 1e-12)) AS scaled_mae FROM cell GROUP BY model_id, window_id, channel_idx")
+    q("a11_ui_metrics", "SELECT model_id, window_id, channel_idx, $EXACT(avg(abs(yhat - y))) AS mae, $EXACT(avg(abs(yhat - y)) / greatest(max(scale), 1e-12)) AS scaled_mae FROM cell WHERE observed GROUP BY model_id, window_id, channel_idx")
     q("a12_prediction_presence", "SELECT m.model_id, w.window_id FROM model m CROSS JOIN win w JOIN (SELECT DISTINCT model_id, window_id FROM fcst WHERE model_id <> 'drift') f ON f.model_id = m.model_id AND f.window_id = w.window_id")
 
 
@@ -40,8 +47,8 @@ def aggregates(c: Catalog) -> None:
     c.add("scored", "SELECT model_id, 'official_baseline' AS kind, cast(NULL AS string) AS capability_id, 0 AS level, mase, mae FROM accuracy UNION ALL SELECT model_id, 'capability_treatment', capability_id, level, avg(e / scale), avg(e) FROM treated_error GROUP BY model_id, window_id, capability_id, level")
     q("r1_accuracy_summary", "SELECT model_id, kind, capability_id, level, count(*) AS official_instance_count, $EXACT(avg(mase)) AS mase_mean, $EXACT(avg(mae)) AS mae_mean FROM scored GROUP BY model_id, kind, capability_id, level")
     q("r2_official_accuracy", "SELECT model_id, count(*) AS official_instance_count, $EXACT(avg(mase)) AS official_mase_mean FROM accuracy GROUP BY model_id")
-    q("r3_effect_summary", "SELECT model_id, capability_id, level, candidates, scored, $EXACT(cast(scored AS double) / candidates) AS coverage, $EXACT(pooled_nrmse) AS pooled_nrmse, $EXACT(mean_nrmse) AS mean_nrmse, $EXACT(pooled_amplitude) AS pooled_amplitude, $EXACT(mean_correlation) AS mean_correlation FROM effect_summary")
-    q("r4_ablation_summary", "SELECT model_id, count(*) AS rows_, $EXACT(avg(full_mase)) AS full_mase, $EXACT(avg(ablated_mase)) AS ablated_mase, $EXACT(avg(ablated_mase - full_mase)) AS degradation FROM ablation_row GROUP BY model_id")
+    q("r3_effect_summary", "SELECT model_id, capability_id, level, candidates, scored, low_signal, unobserved, $EXACT(cast(scored AS double) / candidates) AS coverage, $EXACT(pooled_nrmse) AS pooled_nrmse, $EXACT(mean_nrmse) AS mean_nrmse, $EXACT(pooled_amplitude) AS pooled_amplitude, $EXACT(mean_correlation) AS mean_correlation FROM effect_summary")
+    q("r4_ablation_summary", "SELECT model_id, capability_id, level, count(*) AS rows_, $EXACT(avg(full_mase)) AS full_mase, $EXACT(avg(ablated_mase)) AS ablated_mase, $EXACT(avg(ablated_mase - full_mase)) AS degradation, $EXACT(avg(change_rms / effect_rms)) AS response_ratio FROM ablation_row GROUP BY model_id, capability_id, level")
     q("r5_partial_merge", "SELECT model_id, cast(sum(n) AS bigint) AS n, $EXACT(sum(s) / sum(n)) AS mase_mean FROM (SELECT model_id, dataset, count(*) AS n, sum(mase) AS s FROM accuracy GROUP BY model_id, dataset) q GROUP BY model_id")
     q("r6_availability_reasons", "SELECT capability_id, coalesce(reason, 'available') AS reason, count(*) AS windows FROM group_state GROUP BY capability_id, coalesce(reason, 'available')")
     c.add("capability_mean", "SELECT model_id, capability_id, avg(pooled_nrmse) AS nrmse, count(DISTINCT level) AS levels FROM effect_summary WHERE pooled_nrmse IS NOT NULL GROUP BY model_id, capability_id")
@@ -51,8 +58,8 @@ def aggregates(c: Catalog) -> None:
     q("r10_accuracy_diagnostics", "SELECT model_id, $EXACT(median(mase)) AS median_mase, $EXACT(max(mase)) AS max_mase, max_by(task_id, mase) AS worst_task, $EXACT((sum(mase) - max(mase)) / nullif(count(*) - 1, 0)) AS mean_without_worst FROM task_accuracy GROUP BY model_id")
     q("r11_level_average", "SELECT model_id, capability_id, $EXACT(nrmse) AS nrmse, levels = 5 AS complete FROM capability_mean")
     q("r12_task_equal", "SELECT model_id, capability_id, count(*) AS tasks, $EXACT(avg(nrmse)) AS nrmse, $EXACT(avg(amplitude)) AS amplitude FROM (SELECT model_id, capability_id, dataset, sqrt(sum(sse) / nullif(sum(sst), 0)) AS nrmse, sqrt(sum(ssf) / nullif(sum(sst), 0)) AS amplitude FROM effect WHERE status = 'scored' GROUP BY model_id, capability_id, dataset) q GROUP BY model_id, capability_id")
-    q("r13_rank_parts", "SELECT model_id, count(DISTINCT part) AS parts, count(DISTINCT part) = 4 AS complete, cast(sum(n) AS bigint) AS rows_, $EXACT(sum(s) / sum(n)) AS mean FROM (SELECT model_id, step % 4 AS part, count(*) AS n, sum(abs(yhat - y)) AS s FROM cell GROUP BY model_id, step % 4) q GROUP BY model_id")
-    q("r14_ablation_tasks", "SELECT model_id, $EXACT(avg(d)) AS mean_, $EXACT(median(d)) AS median_, $EXACT(avg(CASE WHEN d > 0 THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS positive_fraction FROM (SELECT model_id, ablated_mase - full_mase AS d FROM ablation_row) q GROUP BY model_id")
+    q("r13_rank_parts", "SELECT model_id, count(DISTINCT part) AS parts, count(DISTINCT part) = 4 AS complete, cast(sum(n) AS bigint) AS rows_, $EXACT(sum(s) / sum(n)) AS mean FROM (SELECT model_id, step % 4 AS part, count(*) AS n, sum(abs(yhat - y)) AS s FROM cell WHERE observed GROUP BY model_id, step % 4) q GROUP BY model_id")
+    q("r14_ablation_tasks", "SELECT model_id, capability_id, count(*) AS tasks, $EXACT(avg(d)) AS mean_, $EXACT(median(d)) AS median_, $EXACT(avg(CASE WHEN d > 1e-12 THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS positive_fraction FROM (SELECT r.model_id, r.capability_id, w.dataset, avg(r.ablated_mase - r.full_mase) AS d FROM ablation_row r JOIN win w ON r.window_id = w.window_id GROUP BY r.model_id, r.capability_id, w.dataset) q GROUP BY model_id, capability_id")
     q("r15_leave_one_out", "SELECT model_id, $EXACT(min(v)) AS lowest, $EXACT(max(v)) AS highest FROM (SELECT model_id, (sum(mase) OVER (PARTITION BY model_id) - mase) / nullif(count(*) OVER (PARTITION BY model_id) - 1, 0) AS v FROM task_accuracy) q GROUP BY model_id")
     q("r16_record_availability", "SELECT dataset, capability_id, bool_and(available) AS every_window, bool_or(available) AS any_window, count(*) AS windows FROM (SELECT w.dataset, g.capability_id, g.available FROM group_state g JOIN win w ON g.window_id = w.window_id) q GROUP BY dataset, capability_id")
     q("r17_distinct", "SELECT dataset, count(DISTINCT model_id) AS models, count(DISTINCT window_id) AS windows FROM accuracy GROUP BY dataset")
@@ -63,7 +70,7 @@ def ranks(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
     c.add("effect_rank", "SELECT capability_id, level, model_id, round(pooled_nrmse, 9) AS v, cast(row_number() OVER (PARTITION BY capability_id, level ORDER BY round(pooled_nrmse, 9), model_id) AS bigint) AS place FROM effect_summary WHERE pooled_nrmse IS NOT NULL")
     q("k1_effect_rank", "SELECT capability_id, level, model_id, place FROM effect_rank")
-    q("k2_attribution_rank", "SELECT model_id, cast(row_number() OVER (ORDER BY d DESC, model_id) AS bigint) AS place FROM (SELECT model_id, round(avg(ablated_mase - full_mase), 9) AS d FROM ablation_row GROUP BY model_id) q")
+    q("k2_attribution_rank", "SELECT capability_id, level, model_id, cast(row_number() OVER (PARTITION BY capability_id, level ORDER BY d DESC, model_id) AS bigint) AS place FROM (SELECT model_id, capability_id, level, round(avg(ablated_mase - full_mase), 9) AS d FROM ablation_row GROUP BY model_id, capability_id, level) q")
     c.add("task_rank", "SELECT task_id, model_id, round(mase, 9) AS v, cast(rank() OVER (PARTITION BY task_id ORDER BY round(mase, 9)) AS bigint) AS place FROM task_accuracy")
     q("k3_competition_rank", "SELECT task_id, model_id, place FROM task_rank")
     c.add("mean_rank", "SELECT task_id, model_id, v, place + (count(*) OVER (PARTITION BY task_id, v) - 1) / cast(2 AS double) AS r FROM task_rank")
@@ -75,12 +82,12 @@ def ranks(c: Catalog) -> None:
     c.add("two_ranks", "SELECT e.model_id, rank() OVER (ORDER BY e.nrmse) AS derived, rank() OVER (ORDER BY a.mase) AS official FROM (SELECT model_id, round(avg(nrmse), 9) AS nrmse FROM capability_mean GROUP BY model_id) e JOIN (SELECT model_id, round(avg(mase), 9) AS mase FROM accuracy GROUP BY model_id) a ON e.model_id = a.model_id")
     q("k6_rank_shift", "SELECT model_id, cast(official - derived AS bigint) AS shift FROM two_ranks")
     q("k7_winner_concordance", "SELECT e.capability_id, e.model_id AS effect_winner, t.model_id AS accuracy_winner, e.model_id = t.model_id AS concordant FROM (SELECT capability_id, model_id, row_number() OVER (PARTITION BY capability_id ORDER BY round(nrmse, 9), model_id) AS n FROM capability_mean) e JOIN (SELECT capability_id, model_id, row_number() OVER (PARTITION BY capability_id ORDER BY round(avg(mase), 9), model_id) AS n FROM scored WHERE capability_id IS NOT NULL GROUP BY capability_id, model_id) t ON e.capability_id = t.capability_id WHERE e.n = 1 AND t.n = 1")
-    c.add("checkpoint", "SELECT model_id AS run, w.w AS step, avg(a.mase) AS value, avg(a.mae) AS other FROM accuracy a JOIN win w ON a.window_id = w.window_id AND w.dataset = 'orders_daily' GROUP BY model_id, w.w")
-    q("k8_best_checkpoint", "SELECT run, min(CASE WHEN n = 1 THEN step END) AS best_step, $EXACT(min(CASE WHEN n = 1 THEN value END)) AS best, max(step) AS final_step FROM (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY round(value, 9), step) AS n FROM checkpoint) q GROUP BY run")
+    c.add("checkpoint", "SELECT concat(w.dataset, '|', a.model_id) AS run, w.w AS step, avg(a.mase) AS value, avg(a.mae) AS other FROM accuracy a JOIN win w ON a.window_id = w.window_id GROUP BY concat(w.dataset, '|', a.model_id), w.w")
+    q("k8_best_checkpoint", "SELECT run, min(CASE WHEN n = 1 THEN step END) AS best_step, $EXACT(min(CASE WHEN n = 1 THEN value END)) AS best, max_by(step, CASE WHEN step > 0 THEN -n END) AS best_nonzero_step, max(step) AS final_step FROM (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY round(value, 9), step) AS n FROM checkpoint) q GROUP BY run")
     q("k9_pareto", "SELECT a.run, a.step FROM checkpoint a WHERE NOT EXISTS (SELECT 1 FROM checkpoint b WHERE b.run = a.run AND b.value <= a.value AND b.other <= a.other AND (b.value < a.value OR b.other < a.other))")
     q("k10_adjacent_gaps", "SELECT model_id, lead(model_id) OVER (ORDER BY v, model_id) AS next_model, $EXACT(lead(v) OVER (ORDER BY v, model_id) - v) AS gap FROM (SELECT model_id, round(avg(mase), 9) AS v FROM accuracy GROUP BY model_id) q")
     q("k11_candidate_pools", "SELECT window_id, channel_idx, bin, cast(place AS bigint) AS place, place <= 8 AS in_8, place <= 4 AS in_4, place <= 3 AS in_3 FROM (SELECT window_id, channel_idx, bin, row_number() OVER (PARTITION BY window_id, channel_idx ORDER BY power DESC, bin) AS place FROM power) q WHERE place <= 12")
-    q("k12_head_tail", "SELECT run, $EXACT(avg(CASE WHEN a <= 3 THEN value END)) AS head, $EXACT(avg(CASE WHEN z <= 3 THEN value END)) AS tail FROM (SELECT run, value, row_number() OVER (PARTITION BY run ORDER BY step) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS z FROM checkpoint) q GROUP BY run")
+    q("k12_head_tail", "SELECT run, $EXACT(avg(CASE WHEN a <= 10 THEN value END)) AS head, $EXACT(avg(CASE WHEN z <= 10 THEN value END)) AS tail FROM (SELECT run, value, row_number() OVER (PARTITION BY run ORDER BY step) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS z FROM checkpoint) q GROUP BY run")
     q("k13_window_functions", "SELECT window_id, channel_idx, t, $EXACT(sum(value) OVER (PARTITION BY window_id, channel_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running, $EXACT(value - lag(value, 7) OVER (PARTITION BY window_id, channel_idx ORDER BY t)) AS diff FROM hist")
     q("k14_output_order", "SELECT model_id, kind, capability_id, level, cast(row_number() OVER (ORDER BY model_id, kind, coalesce(capability_id, 'None'), level) AS bigint) AS position FROM (SELECT DISTINCT model_id, kind, capability_id, level FROM scored) q")
 
@@ -113,17 +120,19 @@ def resampling(c: Catalog) -> None:
     q("b12_rank_similarity", "SELECT a, count(*) AS others, $EXACT(min(s)) AS lowest, $EXACT(avg(s)) AS mean FROM (SELECT a, b, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS s FROM rank_pair GROUP BY a, b) q GROUP BY a")
     q("b13_relative_change", "SELECT run, step, $EXACT(value - base) AS absolute, $EXACT((base - value) / nullif(base, 0) * 100) AS gain_percent, value < base AS improved FROM (SELECT run, step, value, first_value(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS base FROM checkpoint) q")
     q("b14_seed_transfer", "SELECT a.step, count(*) AS runs, $EXACT(avg(a.value - b.value)) AS mean_change, count(CASE WHEN a.value < b.value THEN 1 END) AS improved FROM checkpoint a JOIN checkpoint b ON a.run = b.run AND b.step = 0 WHERE a.step > 0 GROUP BY a.step")
-    q("b15_structure_uniqueness", "SELECT capability_id, count(*) AS windows, count(DISTINCT round(shape, 2)) AS unique_shapes, $EXACT(cast(count(DISTINCT round(shape, 2)) AS double) / count(*)) AS rate FROM draw GROUP BY capability_id")
+    c.add("structure", """SELECT window_id, 'trend' AS capability_id, concat(cast(kind AS string), '|', cast(knot AS string), '|', cast(phase AS string)) AS shape FROM trend_shape UNION ALL SELECT window_id, 'regime_switching', concat(cast(kind AS string), '|', cast(width AS string)) FROM regime_shape
+        UNION ALL SELECT window_id, 'predictable_intermittency', concat(cast(kind AS string), '|', cast(width AS string), '|', cast(cast(round(jitter * 100) AS bigint) AS string)) FROM event_shape""")
+    q("b15_structure_uniqueness", "SELECT capability_id, count(*) AS windows, count(DISTINCT shape) AS unique_shapes, $EXACT(cast(count(DISTINCT shape) AS double) / count(*)) AS rate FROM structure GROUP BY capability_id")
     q("b16_percentiles", "SELECT event_type, $EXACT($PCT(value, 0.5)) AS p50, $EXACT($PCT(value, 0.95)) AS p95, $EXACT(count(*) / cast(30 AS double)) AS per_day FROM events GROUP BY event_type")
     q("b17_band_quantiles", "SELECT dataset, step, $EXACT($PCT(yhat, 0.1)) AS lo, $EXACT($PCT(yhat, 0.9)) AS hi FROM cell GROUP BY dataset, step")
-    q("b18_identities", "SELECT 'treatments' AS identity_, (SELECT count(*) FROM treatment) = 5 * (SELECT count(*) FROM unit_window) AS holds UNION ALL SELECT 'macro', abs((SELECT avg(nrmse) FROM capability_mean) - (SELECT avg(v) FROM (SELECT avg(nrmse) AS v FROM capability_mean GROUP BY model_id) q)) <= 1e-9")
+    q("b18_identities", "SELECT 'treatments' AS identity_, (SELECT count(*) FROM treatment) = 5 * (SELECT count(*) FROM (SELECT DISTINCT window_id, capability_id FROM treatment) q) AS holds UNION ALL SELECT 'macro', abs((SELECT avg(nrmse) FROM capability_mean) - (SELECT avg(v) FROM (SELECT avg(nrmse) AS v FROM capability_mean GROUP BY model_id) q)) <= 1e-9")
 
 
 def joins(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
     q("j1_prediction_lookup", "SELECT f.model_id, u.window_id, count(*) AS cells, $EXACT(avg(abs(f.yhat - u.value))) AS mae FROM fut u JOIN fcst f ON u.window_id = f.window_id AND u.channel_idx = f.channel_idx AND u.step = f.step GROUP BY f.model_id, u.window_id")
     q("j2_treatment_baseline", "SELECT t.window_id, t.capability_id, t.level, a.model_id, $EXACT(a.mase) AS baseline_mase FROM treatment t JOIN accuracy a ON t.window_id = a.window_id")
-    q("j3_ablation_chain", "SELECT b.model_id, b.window_id, t.capability_id, count(*) AS levels, $EXACT(max(b.ablated_mase - a.mase)) AS gap FROM ablation_row b JOIN treatment t ON b.window_id = t.window_id JOIN accuracy a ON a.window_id = b.window_id AND a.model_id = b.model_id GROUP BY b.model_id, b.window_id, t.capability_id")
+    q("j3_ablation_chain", "SELECT b.model_id, b.window_id, b.capability_id, count(*) AS levels, $EXACT(max(b.ablated_mase - a.mase)) AS gap FROM ablation_row b JOIN treatment t ON b.window_id = t.window_id AND b.capability_id = t.capability_id AND b.level = t.level JOIN accuracy a ON a.window_id = b.window_id AND a.model_id = b.model_id GROUP BY b.model_id, b.window_id, b.capability_id")
     q("j4_merge_leftovers", "SELECT coalesce(w.window_id, c.window_id) AS window_id, count(c.sample_id) AS contracts, w.window_id IS NULL AS stray FROM win w FULL OUTER JOIN contract c ON w.window_id = c.window_id GROUP BY coalesce(w.window_id, c.window_id), w.window_id IS NULL")
     q("j5_common_tasks", "SELECT left_model, right_model, count(*) AS common FROM pair GROUP BY left_model, right_model")
     q("j6_full_outer", "SELECT coalesce(a.dataset, b.dataset) AS dataset, a.dataset IS NOT NULL AS in_panel, b.dataset IS NOT NULL AS in_plan FROM (SELECT DISTINCT dataset FROM panel) a FULL OUTER JOIN (SELECT DISTINCT dataset FROM win WHERE dataset <> 'lineitem_daily' UNION SELECT 'other') b ON a.dataset = b.dataset")
@@ -134,6 +143,6 @@ def joins(c: Catalog) -> None:
     q("j11_range", "SELECT w.window_id, k.ctx, count(*) AS cells FROM win w JOIN (SELECT 24 AS ctx UNION ALL SELECT 96) k ON w.origin > k.ctx JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t >= w.origin - k.ctx AND p.t < w.origin GROUP BY w.window_id, k.ctx")
     q("j12_set_operations", "SELECT 'both' AS part, task_id FROM (SELECT task_id FROM task_rank WHERE model_id = 'naive' AND place <= 3 INTERSECT SELECT task_id FROM task_rank WHERE model_id = 'drift' AND place <= 3) q UNION ALL SELECT 'only', task_id FROM (SELECT task_id FROM task_rank WHERE model_id = 'naive' AND place <= 3 EXCEPT SELECT task_id FROM task_rank WHERE model_id = 'drift' AND place <= 3) q")
     q("j13_ordered_dedup", "SELECT event_type, first_event FROM (SELECT event_type, event_id AS first_event, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) q WHERE n = 1")
-    q("j14_pivot", "SELECT task_id, " + ", ".join(f"$EXACT(max(CASE WHEN model_id = '{m}' THEN mase END)) AS {m}" for m in ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend")) + " FROM task_accuracy GROUP BY task_id")
-    q("j15_explorer", "SELECT t.window_id, t.level, e.model_id, $EXACT(e.nrmse) AS nrmse FROM treatment t JOIN effect e ON t.window_id = e.window_id AND t.capability_id = e.capability_id AND t.level = e.level WHERE t.dataset = 'events_hourly' AND t.capability_id = 'trend'")
+    q("j14_pivot", "SELECT task_id, " + ", ".join(f"$EXACT(max(CASE WHEN model_id = '{m}' THEN mase END)) AS {m}" for m in ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend", "panel_blend", "panel_naive")) + " FROM task_accuracy GROUP BY task_id")
+    q("j15_explorer", "SELECT t.dataset, t.capability_id, count(DISTINCT t.window_id) AS windows, count(DISTINCT t.level) AS levels, min(t.window_id) AS first_window, count(e.model_id) AS effects, $EXACT(avg(e.nrmse)) AS nrmse FROM treatment t LEFT JOIN effect e ON t.window_id = e.window_id AND t.capability_id = e.capability_id AND t.level = e.level GROUP BY t.dataset, t.capability_id")
     q("x1_hourly_events", "SELECT event_type, $HOUR(ts) AS hour, count(*) AS n, $EXACT(sum(value)) AS total FROM events GROUP BY event_type, $HOUR(ts)")

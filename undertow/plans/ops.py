@@ -12,7 +12,7 @@ def windows(c: Catalog) -> None:
     q("s3_source_summary", "SELECT item_id, min(freq) AS freq, count(DISTINCT freq) AS frequencies, min($SIZE(target)) AS min_length, count(*) AS records FROM series GROUP BY item_id")
     q("s4_task_ids", "SELECT base_id, cast(n AS bigint) AS duplicates, CASE WHEN n > 1 THEN concat(base_id, '_', substr(md5(config), 1, 8)) ELSE base_id END AS task_id FROM (SELECT base_id, config, count(*) OVER (PARTITION BY base_id) AS n FROM (SELECT o_orderpriority AS base_id, concat(o_orderpriority, o_orderstatus) AS config FROM orders GROUP BY o_orderpriority, o_orderstatus) q) q")
     q("s5_window_roles", "SELECT u.window_id, u.channel_idx, u.step, $EXACT(u.value) AS truth, $EXACT(p.value) AS past_last, u.step % 7 AS known FROM fut u JOIN hist p ON u.window_id = p.window_id AND u.channel_idx = p.channel_idx AND p.t = p.origin - 1")
-    c.add("flat", "SELECT model_id, window_id, max(channel_idx) + 1 AS d, max(step) + 1 AS h, $LIST(yhat, step * 100 + channel_idx) AS forecast FROM fcst GROUP BY model_id, window_id")
+    c.add("flat", "SELECT model_id, window_id, max(channel_idx) + 1 AS d, max(step) + 1 AS h, $LIST(yhat, (step, channel_idx)) AS forecast FROM fcst GROUP BY model_id, window_id")
     q("s9_prediction_rows", "SELECT model_id, window_id, h AS horizon, d AS target_dim, cast($SIZE(forecast) AS bigint) AS cells, $FORALL(forecast, x, x IS NOT NULL AND NOT isnan(x)) AS finite FROM flat")
     q("s10_prediction_reshape", "SELECT model_id, window_id, step, cast($SIZE(row_) AS bigint) AS width, $EXACT($GET(row_, 0)) AS first_channel FROM (SELECT model_id, window_id, step, $CUT(forecast, cast(step * d + 1 AS int), cast(d AS int)) AS row_ FROM (SELECT *, $SEQ(0, h - 1) AS step FROM flat) q) q")
     q("s11_duplicate_predictions", "SELECT model_id, window_id, channel_idx, step, count(*) AS n FROM (SELECT model_id, window_id, channel_idx, step FROM fcst UNION ALL SELECT model_id, window_id, channel_idx, step FROM fcst WHERE model_id = 'naive' AND step = 0) q GROUP BY model_id, window_id, channel_idx, step HAVING count(*) > 1")
@@ -37,9 +37,9 @@ def windows(c: Catalog) -> None:
     c.add("long_config", "SELECT * FROM (VALUES ('electricity/15T'), ('electricity/H'), ('solar/10T'), ('solar/H'), ('kdd_cup_2018_with_missing/H'), ('LOOP_SEATTLE/5T'), ('LOOP_SEATTLE/H'), ('SZ_TAXI/15T'), ('M_DENSE/H'), ('ett1/15T'), ('ett1/H'), ('ett2/15T'), ('ett2/H'), ('jena_weather/10T'), ('jena_weather/H'), ('bitbrains_fast_storage/5T'), ('bitbrains_rnd/5T'), ('bizitobs_application'), ('bizitobs_service'), ('bizitobs_l2c/5T'), ('bizitobs_l2c/H')) AS v(config_id)")
     q("w11_configured_suite", "SELECT 'short' AS term, dataset_id FROM registry UNION ALL SELECT 'medium', dataset_id FROM registry WHERE config_id IN (SELECT config_id FROM long_config) UNION ALL SELECT 'long', dataset_id FROM registry WHERE config_id IN (SELECT config_id FROM long_config)")
     q("w12_cutoff", "SELECT dataset, cutoff, CASE WHEN cutoff < 0 THEN n + cutoff ELSE cutoff END AS resolved FROM extent CROSS JOIN (VALUES (-48), (-2), (100)) AS v(cutoff)")
-    c.add("context", "SELECT * FROM (VALUES ('tirex2', 2048), ('Timer-4.0', 8192), ('Chronos-2', 8192), ('Timer-3.5', 11520), ('timesfm2.5', 15360), ('moirai2', 16384), ('toto2.0', 16384)) AS v(model_id, max_context)")
-    q("w13_context_suffix", "SELECT k.model_id, p.window_id, count(*) AS cells, $EXACT(sum(p.value)) AS total FROM hist p CROSS JOIN (SELECT 'short' AS model_id, 96 AS max_context UNION ALL SELECT 'medium', 512 UNION ALL SELECT model_id, max_context FROM context WHERE model_id = 'tirex2') k WHERE p.t >= p.origin - k.max_context GROUP BY k.model_id, p.window_id")
-    q("w14_suffix_replay", "SELECT window_id, capability_id, channel_idx, count(*) AS cells, $EXACT(sum(unit)) AS total FROM component WHERE t >= origin - 96 AND t < origin GROUP BY window_id, capability_id, channel_idx")
+    # Fixed values of the suite above: task ids, configurations and domains.
+    q("w13_context_suffix", "SELECT k.model_id, p.window_id, count(*) AS cells, max(p.origin) < 32 AS below_minimum, $EXACT(sum(p.value)) AS total FROM hist p CROSS JOIN (SELECT 'short' AS model_id, 96 AS max_context UNION ALL SELECT 'medium', 512 UNION ALL SELECT model_id, max_context FROM context) k WHERE p.t >= p.origin - k.max_context GROUP BY k.model_id, p.window_id")
+    q("w14_suffix_replay", "SELECT p.window_id, p.capability_id, p.level, k.ctx, count(*) AS cells, $EXACT(sum(p.v)) AS total, $EXACT(max(CASE WHEN p.t = p.origin - 1 THEN p.v END)) AS last_value FROM profile p CROSS JOIN (SELECT 96 AS ctx UNION ALL SELECT DISTINCT max_context FROM context) k WHERE p.t >= p.origin - k.ctx AND p.t < p.origin GROUP BY p.window_id, p.capability_id, p.level, k.ctx")
     q("w15_instance_audit", "SELECT w.dataset, count(DISTINCT w.window_id) AS instances, cast(sum(w.h) AS bigint) AS cells, min(w.origin) AS min_context, max(w.origin) AS max_context, count(DISTINCT k.channel_idx) AS target_dim FROM win w JOIN chan k ON w.dataset = k.dataset GROUP BY w.dataset")
 
     # Missing data and encodings, over the sparse panel.
@@ -51,7 +51,7 @@ def windows(c: Catalog) -> None:
     q("n1_observed_fraction", "SELECT window_id, $EXACT(avg(CASE WHEN observed THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS observed_fraction, count(DISTINCT CASE WHEN observed THEN channel_idx END) AS seen_channels FROM imputed GROUP BY window_id")
     q("n2_future_placeholder", "SELECT l.window_id, l.channel_idx, l.step, l.value IS NOT NULL AS observed, $EXACT(coalesce(l.value, i.value)) AS value FROM label_cell l JOIN imputed i ON l.window_id = i.window_id AND l.channel_idx = i.channel_idx AND i.t = i.origin - 1")
     q("n3_covariate_imputation", "SELECT l.window_id, l.channel_idx, l.step, $EXACT(coalesce(l.value, $LAST(l.value) OVER (PARTITION BY l.window_id, l.channel_idx ORDER BY l.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), i.value)) AS value FROM label_cell l JOIN imputed i ON l.window_id = i.window_id AND i.channel_idx = l.channel_idx AND i.t = i.origin - 1")
-    q("n4_category_codes", "SELECT event_id, cast(dense_rank() OVER (ORDER BY event_type) - 1 AS double) AS code FROM events")
+    q("n4_category_codes", "SELECT e.event_id, k.code FROM events e JOIN (SELECT event_type, cast(row_number() OVER (ORDER BY event_type) - 1 AS double) AS code FROM (SELECT DISTINCT event_type FROM events) q) k ON e.event_type = k.event_type")
     q("n5_covariate_types", """SELECT name, CASE WHEN n = 0 THEN 'continuous' WHEN distincts <= 2 AND is_binary THEN 'binary' ELSE 'continuous' END AS semantic_type FROM (SELECT name, count(v) AS n, count(DISTINCT v) AS distincts, bool_and(v IN (0, 1)) AS is_binary FROM (
         SELECT 'weekend' AS name, cast(t % 7 IN (5, 6) AS int) AS v FROM panel UNION ALL SELECT 'hour', cast(t % 24 AS int) FROM panel UNION ALL SELECT 'empty', cast(NULL AS int) FROM panel UNION ALL SELECT 'constant', 1 FROM panel) q GROUP BY name) q""")
     q("n6_past_only_fill", "SELECT window_id, channel_idx, cast($SIZE(filled) AS bigint) AS h, $EXACT($GET(filled, 0)) AS value FROM (SELECT window_id, channel_idx, $REPEAT(last_value, h) AS filled FROM fit) q")
@@ -63,25 +63,25 @@ def gates(c: Catalog) -> None:
     q("g1_channel_scale", "SELECT window_id, channel_idx, $EXACT(scale) AS scale FROM channel_scale")
     q("g2_mase_scale", "SELECT window_id, channel_idx, $EXACT(scale) AS scale FROM mase_scale")
     q("g3_scalar_scale", "SELECT window_id, $EXACT(avg(scale)) AS scale FROM mase_scale GROUP BY window_id")
-    q("g4_effect_signal", "SELECT u.window_id, u.capability_id, $EXACT(sqrt(avg(u.unit * u.unit))) AS raw_rms, $EXACT(sqrt(avg(u.unit * u.unit / (a.scale * a.scale)))) AS scaled_rms, count(*) AS cells FROM component u JOIN mase_scale a ON u.window_id = a.window_id AND u.channel_idx = a.channel_idx WHERE u.t >= u.origin AND u.unit <> 0 GROUP BY u.window_id, u.capability_id")
-    q("g5_macro_distance", "SELECT window_id, capability_id, $EXACT(distance) AS distance FROM unit_window")
-    c.add("context_distance", """SELECT window_id, capability_id, ctx, avg(d) AS macro, max(d) AS channel FROM (SELECT u.window_id, u.capability_id, u.channel_idx, k.ctx, sqrt(avg(u.unit * u.unit / (s.scale * s.scale))) AS d FROM component u JOIN channel_scale s ON u.window_id = s.window_id AND u.channel_idx = s.channel_idx
-        JOIN (SELECT DISTINCT w.window_id, least(w.origin, x.max_context) AS ctx FROM win w CROSS JOIN (SELECT max_context FROM context UNION SELECT 512) x) k ON u.window_id = k.window_id AND u.t >= u.origin - k.ctx AND u.t < u.origin GROUP BY u.window_id, u.capability_id, u.channel_idx, k.ctx) q GROUP BY window_id, capability_id, ctx""")
-    c.add("distance_gate", """SELECT t.window_id, t.capability_id, t.level, min(t.gain * d.macro) AS min_macro, max(t.gain * d.macro) AS max_macro, max(t.gain * d.channel) AS max_channel FROM treatment t JOIN context_distance d ON t.window_id = d.window_id AND t.capability_id = d.capability_id GROUP BY t.window_id, t.capability_id, t.level""")
+    q("g4_effect_signal", "SELECT window_id, capability_id, level, $EXACT(raw_rms) AS raw_rms, $EXACT(future_rms) AS scaled_rms, cells FROM unit_future")
+    q("g5_macro_distance", "SELECT window_id, capability_id, level, $EXACT(distance) AS distance FROM profile_fit")
+    # Directions are 1 or -1 in units of a channel's scale, so every affected channel has the distance of the profile.
+    c.add("distance_gate", "SELECT t.window_id, t.capability_id, t.level, min(t.gain * d.macro) AS min_macro, max(t.gain * d.macro) AS max_macro, max(t.gain * d.macro) AS max_channel FROM treatment t JOIN context_distance d ON t.window_id = d.window_id AND t.capability_id = d.capability_id AND t.level = d.level GROUP BY t.window_id, t.capability_id, t.level")
     c.add("gate_reason", "SELECT *, CASE WHEN min_macro < 0.10 - 1e-12 THEN 'below_minimum_model_context_macro_distance' WHEN max_macro > 2.0 + 1e-12 THEN 'above_maximum_model_context_macro_distance' WHEN max_channel > 3.0 + 1e-12 THEN 'above_maximum_model_context_channel_distance' END AS reason FROM distance_gate")
     q("g6_distance_gate", "SELECT window_id, capability_id, level, $EXACT(min_macro) AS min_macro, $EXACT(max_macro) AS max_macro, $EXACT(max_channel) AS max_channel, reason FROM gate_reason")
     q("g7_contexts", "SELECT t.term, w.window_id, least(w.origin, k.max_context) AS context_length, $JOINED(k.model_id) AS models FROM win w CROSS JOIN term t JOIN context k ON t.term = 'short' OR k.model_id <> 'tirex2' GROUP BY t.term, w.window_id, least(w.origin, k.max_context)")
-    c.add("dose_interval", "SELECT u.window_id, u.capability_id, b.level, greatest(cast(b.lo AS double), 0.10 / nullif(r.lo_ratio, 0), 0.05 * u.distance / nullif(u.future_rms, 0)) AS lo, least(cast(b.hi AS double), 2.0 / nullif(r.hi_ratio, 0), 3.0 / nullif(r.channel_ratio, 0)) AS hi FROM unit_window u JOIN (SELECT d.window_id, d.capability_id, min(d.macro / nullif(u.distance, 0)) AS lo_ratio, max(d.macro / nullif(u.distance, 0)) AS hi_ratio, max(d.channel / nullif(u.distance, 0)) AS channel_ratio FROM context_distance d JOIN unit_window u ON d.window_id = u.window_id AND d.capability_id = u.capability_id GROUP BY d.window_id, d.capability_id) r ON u.window_id = r.window_id AND u.capability_id = r.capability_id CROSS JOIN band b")
-    q("g8_dose_interval", "SELECT window_id, capability_id, level, $EXACT(lo) AS lo, $EXACT(hi) AS hi, lo <= hi AS feasible FROM dose_interval")
-    q("g9_shared_gain", "SELECT window_id, capability_id, $EXACT(greatest(1.0, 0.10 / nullif(min(distance), 0), 0.05 / nullif(min(future_rms), 0))) AS gain FROM unit_window GROUP BY window_id, capability_id")
-    c.add("scoring", "SELECT window_id, capability_id, level, gain * future_rms AS rms, CASE WHEN future_rms IS NULL THEN 'no_observed_affected_future_cell' WHEN gain * future_rms < 0.05 THEN 'future_truth_effect_below_minimum' END AS reason FROM treatment")
+
+    q("g8_dose_interval", "SELECT window_id, capability_id, level, $EXACT(lo) AS lo, $EXACT(hi) AS hi, lo <= hi + 1e-12 AS feasible FROM dose_interval")
+    q("g9_shared_gain", "SELECT window_id, capability_id, $EXACT(weakest) AS weakest, $EXACT(weakest_future) AS weakest_future, $EXACT(gain) AS gain FROM shared_gain")
+    c.add("scoring", "SELECT window_id, capability_id, level, coalesce(gain * future_rms, 0) AS rms, CASE WHEN cells = 0 THEN 'no_observed_affected_future_cell' WHEN gain * future_rms < 0.05 - 1e-12 THEN 'future_truth_effect_below_minimum' END AS reason FROM treatment")
     q("g10_scoring_gate", "SELECT window_id, capability_id, level, $EXACT(rms) AS rms, coalesce(reason, 'scored') AS status FROM scoring")
-    c.add("third", "SELECT u.window_id, u.capability_id, u.channel_idx, ntile(3) OVER (PARTITION BY u.window_id, u.capability_id, u.channel_idx ORDER BY u.t) AS part, u.unit FROM component u WHERE u.t >= u.origin")
-    q("g11_horizon_support", "SELECT window_id, capability_id, channel_idx, $EXACT(tail / nullif(head, 0)) AS tail_head_ratio, coalesce(tail / nullif(head, 0) >= 0.5, false) AS supported FROM (SELECT window_id, capability_id, channel_idx, sqrt(avg(CASE WHEN part = 1 THEN unit * unit END)) AS head, sqrt(avg(CASE WHEN part = 3 THEN unit * unit END)) AS tail FROM third GROUP BY window_id, capability_id, channel_idx) q")
-    q("g11_active_fraction", "SELECT window_id, capability_id, channel_idx, $EXACT(avg(CASE WHEN abs(unit) >= 0.25 * peak THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS active_fraction FROM (SELECT window_id, capability_id, channel_idx, unit, max(abs(unit)) OVER (PARTITION BY window_id, capability_id, channel_idx) AS peak FROM component WHERE t >= origin) q GROUP BY window_id, capability_id, channel_idx")
+    c.add("third", "SELECT window_id, capability_id, level, ntile(3) OVER (PARTITION BY window_id, capability_id, level ORDER BY t) AS part, v FROM profile WHERE t >= origin")
+    q("g11_horizon_support", "SELECT window_id, capability_id, level, $EXACT(tail / nullif(head, 0)) AS tail_head_ratio, coalesce(tail / nullif(head, 0) >= 0.5, false) AS supported FROM (SELECT window_id, capability_id, level, sqrt(avg(CASE WHEN part = 1 THEN v * v END)) AS head, sqrt(avg(CASE WHEN part = 3 THEN v * v END)) AS tail FROM third GROUP BY window_id, capability_id, level) q")
+    q("g11_active_fraction", "SELECT window_id, capability_id, level, $EXACT(avg(CASE WHEN abs(v) >= 0.25 * peak AND peak > 1e-12 THEN cast(1 AS double) ELSE cast(0 AS double) END)) AS active_fraction FROM (SELECT window_id, capability_id, level, v, max(abs(v)) OVER (PARTITION BY window_id, capability_id, level) AS peak FROM profile WHERE t >= origin) q GROUP BY window_id, capability_id, level")
     q("g12_strict_future_effect", "SELECT window_id, capability_id, level FROM scoring WHERE reason IS NULL AND capability_id IN ('nonlinear_persistence', 'predictable_intermittency', 'covariate_impulse_response')")
     c.add("level_state", "SELECT g.window_id, g.capability_id, g.level, coalesce(g.reason, CASE WHEN g.capability_id = 'predictable_intermittency' THEN s.reason END) AS reason FROM gate_reason g JOIN scoring s ON g.window_id = s.window_id AND g.capability_id = s.capability_id AND g.level = s.level")
-    c.add("group_state", "SELECT window_id, capability_id, bool_and(reason IS NULL) AS available, min(CASE WHEN reason IS NOT NULL THEN concat('level_', cast(level AS string), '_', reason) END) AS reason FROM level_state GROUP BY window_id, capability_id")
+    c.add("group_state", """SELECT s.window_id, s.capability_id, coalesce(s.reason, l.reason) IS NULL AS available, coalesce(s.reason, l.reason) AS reason FROM structure_reason s
+        LEFT JOIN (SELECT window_id, capability_id, min(CASE WHEN reason IS NOT NULL THEN concat('level_', cast(level AS string), '_', reason) END) AS reason FROM level_state GROUP BY window_id, capability_id) l ON s.window_id = l.window_id AND s.capability_id = l.capability_id""")
     q("g13_all_or_nothing", "SELECT window_id, capability_id, available, reason FROM group_state")
 
 
@@ -105,8 +105,8 @@ def features(c: Catalog) -> None:
     q("f7_period_independence", "SELECT a.k AS k1, b.k AS k2, abs(1 / a.p - 1 / b.p) * 720 >= 0.5 AND NOT (greatest(a.p / b.p, b.p / a.p) >= 1.5 AND abs(greatest(a.p / b.p, b.p / a.p) / least(greatest(round(greatest(a.p / b.p, b.p / a.p)), 2), 8) - 1) <= 0.05) AS independent FROM period a JOIN period b ON a.k < b.k")
     c.add("tail", "SELECT window_id, channel_idx, regr_slope(value, cast(t AS double)) AS b, regr_intercept(value, cast(t AS double)) AS a FROM hist WHERE t >= origin - least(origin, greatest(16, least(256, floor(origin / 2)))) GROUP BY window_id, channel_idx")
     q("f8_tail_extrapolation", "SELECT s.window_id, s.channel_idx, s.step, $EXACT(t.a + t.b * (s.origin + s.step)) AS value FROM steps s JOIN tail t ON s.window_id = t.window_id AND s.channel_idx = t.channel_idx")
-    c.add("direction", "SELECT p.window_id, p.channel_idx, regr_slope((p.value - s.center) / s.scale, cast(p.t AS double) / (p.origin - 1)) AS whole, regr_slope(CASE WHEN p.t < floor(p.origin / 2) THEN (p.value - s.center) / s.scale END, cast(p.t AS double) / (p.origin - 1)) AS first_half, regr_slope(CASE WHEN p.t >= floor(p.origin / 2) THEN (p.value - s.center) / s.scale END, cast(p.t AS double) / (p.origin - 1)) AS second_half FROM hist p JOIN channel_scale s ON p.window_id = s.window_id AND p.channel_idx = s.channel_idx GROUP BY p.window_id, p.channel_idx")
-    q("f9_trend_direction", "SELECT window_id, channel_idx, $EXACT(whole) AS slope, CASE WHEN abs(whole) >= 0.05 AND sign(whole) = sign(first_half) AND sign(whole) = sign(second_half) THEN cast(sign(whole) AS bigint) ELSE 0 END AS direction FROM direction")
+
+    q("f9_trend_direction", "SELECT window_id, channel_idx, $EXACT(whole) AS slope, cast(dir AS bigint) AS direction FROM trend_sign")
     c.add("lagged", "SELECT y.window_id, y.channel_idx AS responder, x.channel_idx AS driver, y.lag, y.z, y.own, x.z AS drive FROM (SELECT *, $SEQ(1, least(24, greatest(1, floor(origin / 8)))) AS lag FROM (SELECT *, lag(z) OVER (PARTITION BY window_id, channel_idx ORDER BY t) AS own FROM zscore) q) y JOIN zscore x ON x.window_id = y.window_id AND x.channel_idx <> y.channel_idx AND x.t = y.t - y.lag")
     c.add("zscore", "SELECT p.window_id, p.origin, p.channel_idx, p.t, (p.value - s.center) / s.scale AS z FROM hist p JOIN channel_scale s ON p.window_id = s.window_id AND p.channel_idx = s.channel_idx")
     c.add("moments", "SELECT window_id, responder, driver, lag, count(*) AS n, covar_pop(z, own) AS zo, covar_pop(z, drive) AS zd, covar_pop(own, drive) AS od, var_pop(own) AS oo, var_pop(drive) AS dd, var_pop(z) AS zz FROM lagged WHERE own IS NOT NULL GROUP BY window_id, responder, driver, lag")
@@ -116,12 +116,13 @@ def features(c: Catalog) -> None:
     q("f13_autoregression", "SELECT window_id, channel_idx, $EXACT(regr_slope(z, z1)) AS b, $EXACT(regr_intercept(z, z1)) AS a, $EXACT(covar_pop(z - z1, z1 * abs(z1) / (1 + abs(z1)))) AS response_cov FROM ar_pair WHERE z1 IS NOT NULL GROUP BY window_id, channel_idx")
     q("f14_blocked_holdout", "SELECT window_id, channel_idx, count(CASE WHEN held THEN 1 END) AS held_cells, $EXACT(avg(CASE WHEN held THEN value END) - avg(CASE WHEN NOT held THEN value END)) AS shift FROM (SELECT window_id, channel_idx, value, t >= origin - greatest(24, floor(origin / 4)) AS held FROM hist) q GROUP BY window_id, channel_idx")
     q("f15_block_bootstrap", "SELECT q.window_id, q.channel_idx, q.step, $EXACT(q.e - avg(q.e) OVER (PARTITION BY q.window_id, q.channel_idx, q.step)) AS innovation, q.path FROM (SELECT d.window_id, d.channel_idx, d.step, d.path, r.r AS e FROM (SELECT s.window_id, s.channel_idx, s.step, s.path, (cast(floor($U(concat(s.window_id, '|', cast(s.path AS string), '|', cast(cast(floor(s.step / 7) AS bigint) AS string))) * s.origin) AS bigint) + s.step % 7) % s.origin AS at_ FROM (SELECT *, $SEQ(0, 127) AS path FROM steps) s) d JOIN residual r ON r.window_id = d.window_id AND r.channel_idx = d.channel_idx AND r.t = d.at_) q")
-    q("f18_impulse_convolution", "SELECT s.window_id, s.step, $EXACT(sum(i.unit * exp(-ln(2) * (s.origin + s.step - i.t) / 12))) AS response FROM steps s JOIN component i ON i.window_id = s.window_id AND i.channel_idx = s.channel_idx AND i.capability_id = 'predictable_intermittency' AND s.origin + s.step - i.t >= 0 AND s.origin + s.step - i.t < 48 WHERE s.channel_idx = 0 GROUP BY s.window_id, s.step")
+    q("f18_impulse_convolution", "SELECT w.window_id, i.level, s.step, $EXACT(sum(i.v * exp(-ln(2.0) * (w.origin + s.step - i.t) / 12.0))) AS response FROM win w JOIN (SELECT DISTINCT window_id, step FROM fut) s ON w.window_id = s.window_id JOIN profile i ON i.window_id = w.window_id AND i.capability_id = 'predictable_intermittency' AND i.t <= w.origin + s.step AND i.t > w.origin + s.step - 48 GROUP BY w.window_id, i.level, s.step")
 
 
 def perturbations(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
-    part = "SELECT window_id, channel_idx, t, $EXACT(unit) AS unit FROM component WHERE capability_id = '{}'"
+    part = "SELECT window_id, level, t, $EXACT(v) AS profile FROM profile WHERE capability_id = '{}'"
+    q("p0_loadings", "SELECT window_id, capability_id, channel_idx, cast(dir AS bigint) AS direction, $EXACT(scale) AS amplitude FROM loading")
     q("p1_trend", part.format("trend"))
     q("p1_trend_profiles", "SELECT window_id, t, $EXACT(rel) AS linear, $EXACT(greatest(0, t - 0.25 * (origin - 1)) / (origin - 1)) AS delayed, $EXACT(power(rel, 1.2)) AS curved, $EXACT(coalesce(sum(step) OVER (PARTITION BY window_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS piecewise FROM (SELECT w.window_id, w.origin, p.t, cast(p.t AS double) / (w.origin - 1) AS rel, CASE floor((p.t + 5) / 40) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END / cast(w.origin - 1 AS double) AS step FROM win w JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t < w.origin + w.h) q")
     q("p4_regime_switching", part.format("regime_switching"))
@@ -132,11 +133,12 @@ def perturbations(c: Catalog) -> None:
     q("p9_cross_series", "SELECT g.window_id, g.responder, g.driver, g.lag, y.t, $EXACT(s.scale * g.beta * x.z) AS unit FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(gain, 9) DESC, responder, driver, lag) AS place FROM gain) g JOIN zscore y ON y.window_id = g.window_id AND y.channel_idx = g.responder JOIN zscore x ON x.window_id = g.window_id AND x.channel_idx = g.driver AND x.t = y.t - g.lag JOIN channel_scale s ON s.window_id = g.window_id AND s.channel_idx = g.responder WHERE g.place = 1")
     q("p10_impulse_kernels", "SELECT i, $EXACT(exp(-ln(2) * i / 12.0)) AS exponential, $EXACT(i / 12.0 * exp(1 - i / 12.0)) AS delayed_gamma, $EXACT(greatest(0, 1 - i / 24.0)) AS triangular FROM (SELECT $SEQ(0, 48) AS i) q")
     q("p11_strength_scaling", "SELECT window_id, capability_id, level, $EXACT(coordinate) AS coordinate, $EXACT(gain) AS gain FROM treatment")
-    q("p12_contract_replay", "SELECT t.window_id, t.capability_id, t.level, u.channel_idx, u.t - u.origin AS step, $EXACT(p.value + t.gain * u.unit) AS treated FROM treatment t JOIN component u ON t.window_id = u.window_id AND t.capability_id = u.capability_id JOIN panel p ON p.dataset = u.dataset AND p.channel_idx = u.channel_idx AND p.t = u.t WHERE u.t >= u.origin")
+    q("p12_contract_replay", "SELECT t.window_id, t.capability_id, t.level, u.channel_idx, u.step, $EXACT(f.value + t.gain * u.unit) AS treated FROM treatment t JOIN unit_cell u ON t.window_id = u.window_id AND t.capability_id = u.capability_id AND t.level = u.level JOIN fut f ON f.window_id = u.window_id AND f.channel_idx = u.channel_idx AND f.step = u.step")
     q("p13_availability", "SELECT window_id, capability_id, available, coalesce(reason, '') AS reason, CASE WHEN available THEN 5 ELSE 0 END AS levels FROM group_state")
     q("p14_sample_rows", "SELECT concat(window_id, '__baseline') AS sample_id, 'official_baseline' AS evaluation_table, cast(NULL AS string) AS capability_id, cast(0 AS bigint) AS level FROM win UNION ALL SELECT concat(t.window_id, '__', t.capability_id, '__level', cast(t.level AS string), '__aug0__treatment'), 'capability_treatment', t.capability_id, cast(t.level AS bigint) FROM treatment t JOIN group_state g ON t.window_id = g.window_id AND t.capability_id = g.capability_id AND g.available")
-    c.add("ablation_plan", "SELECT window_id, d, $ARGMAX(loads) AS assessed, loads FROM (SELECT window_id, count(*) AS d, $LIST(scale, channel_idx) AS loads FROM channel_scale GROUP BY window_id) q")
-    q("p15_input_ablation", "SELECT window_id, cast(d AS bigint) AS d, cast(assessed AS bigint) AS assessed, cast($SIZE($KEEP($RANGE(d), i, i <> assessed)) AS bigint) AS removed FROM ablation_plan")
+    # The assessed channel is the affected one with the largest loading; its siblings are taken away.
+    c.add("ablation_plan", "SELECT window_id, capability_id, max(d) AS d, $GET($LIST(channel_idx, (-scale, channel_idx)), 0) AS assessed FROM loading GROUP BY window_id, capability_id")
+    q("p15_input_ablation", "SELECT window_id, capability_id, d, assessed, cast($SIZE($KEEP($RANGE(d), i, i <> assessed)) AS bigint) AS removed, $GET($KEEP($RANGE(d), i, i <> assessed), 0) AS first_removed FROM ablation_plan WHERE d > 1")
     q("p16_legacy_shift", "SELECT window_id, channel_idx, t, $EXACT(value) AS source, $EXACT(shifted) AS shifted FROM (SELECT a.window_id, a.channel_idx, a.t, a.value, b.value AS shifted FROM hist a JOIN hist b ON a.window_id = b.window_id AND a.channel_idx = b.channel_idx AND b.t = (a.t + floor(a.origin / 2)) % a.origin) q")
 
 
@@ -157,7 +159,7 @@ def validation(c: Catalog) -> None:
     c.add("verdict", "SELECT sample_id, capability_id, coalesce(r1, r2, r3, r4, r5, r6) AS reason FROM rules")
     q("v7_first_failure", "SELECT sample_id, reason FROM verdict")
     q("v8_research_validation", "SELECT capability_id, count(*) AS contracts, count(reason) AS failures FROM verdict GROUP BY capability_id")
-    q("v8_failure_list", "SELECT sample_id, reason FROM (SELECT sample_id, reason, row_number() OVER (ORDER BY sample_id) AS place FROM verdict WHERE reason IS NOT NULL) q WHERE place <= 100")
+    q("v8_failure_list", "SELECT sample_id, reason FROM verdict WHERE reason IS NOT NULL ORDER BY sample_id LIMIT 100")
     c.add("expected", "SELECT sample_id, $SHA(concat(capability_id, '|', cast(level AS string))) AS digest FROM contract")
     c.add("actual", "SELECT sample_id, CASE WHEN artifact_schema = 'broken' THEN 'x' ELSE $SHA(concat(capability_id, '|', cast(level AS string))) END AS digest FROM contract WHERE stored_level = level UNION ALL SELECT concat(sample_id, '__stray'), 'x' FROM contract WHERE stored_level <> level")
     q("v9_publication_validation", "SELECT coalesce(e.sample_id, a.sample_id) AS sample_id, CASE WHEN a.sample_id IS NULL THEN 'missing' WHEN e.sample_id IS NULL THEN 'unexpected' ELSE 'mismatch' END AS problem FROM expected e FULL OUTER JOIN actual a ON e.sample_id = a.sample_id WHERE a.sample_id IS NULL OR e.sample_id IS NULL OR a.digest <> e.digest")
@@ -188,7 +190,7 @@ def adaptation(c: Catalog) -> None:
     q("i13_shard_assignment", "SELECT window_id, cast(floor(ord / 3) AS bigint) AS shard, cast(floor(ord / 3) AS bigint) % 4 AS worker FROM (SELECT window_id, row_number() OVER (ORDER BY dataset, w) - 1 AS ord FROM win) q")
     q("i14_model_contracts", "SELECT model_id, least(coalesce(max_input, 16384), 16384) AS max_context, coalesce(max_output, 960) >= 720 AS admits_720 FROM catalog")
     q("i15_resume", "SELECT p.model_id, p.dataset FROM (SELECT m.model_id, t.dataset FROM model m CROSS JOIN task t) p LEFT JOIN (SELECT DISTINCT model_id, dataset FROM accuracy WHERE dataset = 'events_hourly' AND model_id <> 'drift') d ON p.model_id = d.model_id AND p.dataset = d.dataset WHERE d.model_id IS NULL")
-    for name in ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend"):
+    for name in ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend", "panel_blend", "panel_naive"):
         q(f"m3_{name}", f"SELECT window_id, channel_idx, step, $EXACT(yhat) AS yhat FROM fcst WHERE model_id = '{name}'")
     q("m4_recombination", "SELECT model_id, window_id, step, cast($SIZE(row_) AS bigint) AS d, $EXACT($GET(row_, 0)) AS first_, $EXACT($GET(row_, d - 1)) AS last_ FROM (SELECT model_id, window_id, step, cast(count(*) AS int) AS d, $LIST(yhat, channel_idx) AS row_ FROM fcst GROUP BY model_id, window_id, step) q")
     q("m6_status", "SELECT model_id, cast(sum(views) AS bigint) AS views, max(worker) AS last_worker, bool_and(views > 0) AS complete, count(*) = count(DISTINCT worker) AS disjoint FROM (SELECT model_id, window_id AS worker, count(*) AS views FROM fcst GROUP BY model_id, window_id) q GROUP BY model_id")
