@@ -202,13 +202,89 @@ def test_resampling_draws_as_often_as_the_survey_says(spark):
 def test_treatments_and_roles_return_every_row(spark):
     given = {"panel": panel(spark, [[k * (t % 7) + t for t in range(104)] for k in (1, 2, 3)]), "panel_sparse": panel(spark, [[None if t == 101 else k + t for t in range(104)] for k in (1, 2, 3)]), "win": win(spark, [96, 100], 4)}
     run = lambda name: CATALOG.run(spark, name, **given).collect()
-    for name in ("p1_trend", "p4_regime_switching", "p6_predictable_intermittency"):
+    for name in ("p1_trend", "p4_regime_switching"):
         rows = run(name)
-        assert len(rows) == len({(r.window_id, r.channel_idx, r.t) for r in rows}) == 3 * (100 + 104), name
-        assert name != "p4_regime_switching" or len({r.unit for r in rows if (r.window_id, r.channel_idx) == ("w0", 0)}) == 2
+        assert len(rows) == len({(r.window_id, r.level, r.t) for r in rows}) == 5 * (100 + 104), name
+    assert run("p6_predictable_intermittency") == []  # a horizon of 4 leaves no room for five gaps
+    assert {r.reason for r in run("p13_availability") if r.capability_id == "predictable_intermittency"} == {"history_or_horizon_too_short_for_five_sparse_levels"}
     for name in ("p1_trend_profiles", "p4_regime_profiles"):  # of a window and step, the same for all channels
         assert len(rows := run(name)) == len({(r.window_id, r.t) for r in rows}) == 100 + 104, name
     assert len(run("s5_window_roles")) == 2 * 3 * 4 and len(run("p16_legacy_shift")) == 3 * (96 + 100)
-    assert len(run("p12_contract_replay")) == 2 * 3 * 4 * 3 * 5
+    drawn = [(r.window_id, r.capability_id) for r in run("p0_loadings")]
+    levels = [(r.window_id, r.capability_id) for r in run("p11_strength_scaling")]
+    assert len(run("p12_contract_replay")) == sum(4 * drawn.count(k) for k in levels)
     filled = {(r.window_id, r.channel_idx, r.step): r.value for r in run("n3_covariate_imputation")}
     assert len(filled) == 24 and [filled["w1", k, 1] for k in range(3)] == [101, 102, 103]
+
+
+UNIT = "model_id string, window_id string, dataset string, capability_id string, level int, channel_idx long, step long, unit double, observed boolean, mase double, unit_seasonal double, unit_last double, unit_hat double"
+TREATMENT = "window_id string, dataset string, capability_id string, level int, coordinate double, distance double, cells long, future_rms double, gain double"
+
+
+def test_effects_count_observed_cells_of_affected_channels(spark):
+    treatment = spark.createDataFrame([(w, "d", "trend", 1, 0.1, 1.0, 1, 1.0, 1.0) for w in ("still", "hidden", "small", "same")], TREATMENT)
+    cell = lambda w, c, s, unit, seen, mase, hat: ("m", w, "d", "trend", 1, c, s, unit, seen, mase, 0.0, 0.0, hat)
+    rows = [cell("still", c, s, 2.0, s < 3, m, 0.0 if s < 3 else 99.0) for c, m in ((0, 2.0), (1, 4.0)) for s in range(4)]
+    rows += [cell("hidden", 0, s, 2.0, False, 1.0, 1.0) for s in range(4)] + [cell("small", 0, s, 0.01, True, 1.0, 0.0) for s in range(4)]
+    rows += [cell("same", 0, s, 1.0 + s, True, 1.0, 2.0 * (1.0 + s)) for s in range(4)]
+    given = {"unit_fcst": spark.createDataFrame(rows, UNIT), "treatment": treatment}
+    run = lambda name: {r.window_id: r for r in CATALOG.run(spark, name, **given).collect()}
+    ratios, status, sums, shape = run("a5_effect_ratios"), run("a4_effect_status"), run("a3_paired_effect"), run("a6_effect_correlation")
+    assert ratios["still"].nrmse == 1 and sums["still"].cells == 6 and ratios["still"].amplitude_ratio == 0 and shape["still"].correlation is None
+    assert {w: r.status for w, r in status.items()} == {"still": "scored", "hidden": "unavailable_no_observed_effect_cell", "small": "unavailable_low_truth_effect", "same": "scored"}
+    assert ratios["small"].nrmse is None and ratios["hidden"].nrmse is None and (sums["hidden"].cells, sums["hidden"].sst) == (0, 0)
+    assert (ratios["same"].nrmse, ratios["same"].amplitude_ratio, shape["same"].correlation) == (1, 2, 1)
+
+
+def test_decay_halves_from_its_peak(spark):
+    rows = [(m, "w", "d", "trend", 1, 0, s, v, True, 1.0, 0.0, 0.0, hat * v) for m, hat in (("zero", 0.0), ("twice", 2.0)) for s, v in enumerate((1.0, 0.7, 0.49, 0.3, 0.1))]
+    given = {"unit_fcst": spark.createDataFrame(rows, UNIT)}
+    half = {r.model_id: r for r in CATALOG.run(spark, "a8_half_life", **given).collect()}
+    shape = {r.model_id: r.shape_nrmse for r in CATALOG.run(spark, "a7_decay_profile", **given).collect()}
+    assert half["zero"].measured == "censored_forecast_not_halved_in_horizon" and half["zero"].truth_half_life == 2 and half["zero"].status == "not_applicable"
+    assert (half["twice"].measured, half["twice"].forecast_half_life, half["twice"].absolute_error) == ("scored", 2, 0) and shape == {"zero": 1.0, "twice": 0.0}
+
+
+def test_ablation_takes_the_siblings_away(spark):
+    one = lambda m, hat: [(m, "w", "d", "trend", 1, 0, s, 1.0, s != 3, 1.0, hat, hat, 1.0) for s in range(4)]
+    given = {
+        "unit_fcst": spark.createDataFrame(one("panel_blend", 0.0) + one("naive", 0.0), UNIT),
+        "treatment": spark.createDataFrame([("w", "d", "trend", 1, 0.1, 1.0, 4, 1.0, 1.0)], TREATMENT),
+        "ablation_plan": spark.createDataFrame([("w", "trend", 3, 0)], "window_id string, capability_id string, d long, assessed long"),
+        "cell": spark.createDataFrame([(m, "d", "w", 0, s, 5.0, 5.0, True, 1.0) for m in ("panel_blend", "naive") for s in range(4)], "model_id string, dataset string, window_id string, channel_idx long, step long, yhat double, y double, observed boolean, scale double"),
+        "fcst": spark.createDataFrame([(m, "w", "d", 0, s, 5.0) for m in ("seasonal_naive", "naive") for s in range(4)], "model_id string, window_id string, dataset string, channel_idx long, step long, yhat double"),
+    }
+    (row,) = CATALOG.run(spark, "a9_input_ablation", **given).collect()  # none for a model that reads one channel
+    assert (row.model_id, row.full_mase, row.ablated_mase, row.degradation, row.change_rms, row.response_ratio) == ("panel_blend", 0, 1, 1, 1, 1)
+
+
+def test_events_alternate_by_their_jitter_and_reach_the_future(spark):
+    given = {"panel": panel(spark, [[k * (t % 7) + t for t in range(448)] for k in (1, 2)]), "panel_sparse": panel(spark, [[None if t % 3 else k + t for t in range(448)] for k in (1, 2)]), "win": win(spark, [400, 352], 48)}
+    plans_ = CATALOG.run(spark, "event_plan", **given).collect()
+    got = {}
+    for r in CATALOG.run(spark, "event_profile", **given).collect():
+        got.setdefault((r.window_id, r.level), {})[r.t] = r.v
+    assert len(plans_) == 10
+    for p in plans_:
+        centres, at, k = [p.tip], p.tip, 0
+        while (at := at - (p.a if k % 2 == 0 else p.b)) >= 0:
+            centres.append(at)
+            k += 1
+        at, k = p.tip, 0
+        while (at := at + (p.a if k % 2 == 0 else p.b)) < p.origin + p.h:
+            centres.append(at)
+            k += 1
+        weights = [1.0 if p.kind == 0 or p.width == 1 else 1 - abs(o - 0.5 * (p.width - 1)) / max(1.0, 0.5 * (p.width - 1) + 1) if p.kind == 1 else math.exp(-math.log(2) * o / max(1.0, 0.5 * p.width)) for o in range(p.width)]
+        want = {c + o: w for c in centres for o, w in enumerate(weights) if c + o < p.origin + p.h}
+        assert {t: round(v, 12) for t, v in got[p.window_id, p.level].items() if v} == {t: round(v, 12) for t, v in want.items()}
+        assert sum(c < p.origin for c in centres) >= 3 and any(t >= p.origin and t % 3 == 0 for t in want)
+
+
+def test_trends_go_on_as_the_history_goes(spark):
+    up, down, noise = [2.0 * t for t in range(120)], [-1.0 * t for t in range(120)], [float(t * 7919 % 13) for t in range(120)]
+    given = {"panel": panel(spark, [up, down, noise]), "panel_sparse": panel(spark, [up, down, noise]), "win": win(spark, [100], 20)}
+    signs = {r.channel_idx: r.direction for r in CATALOG.run(spark, "p0_loadings", **given).collect() if r.capability_id == "trend"}
+    assert signs and set(signs) <= {0, 1} and all(signs[k] == {0: 1, 1: -1}[k] for k in signs)
+    places = {r.level: min((q.t for q in CATALOG.run(spark, "p4_regime_switching", **given).where(f"level = {r.level}").collect() if q.profile > 0)) for r in CATALOG.run(spark, "p11_strength_scaling", **given).where("capability_id = 'regime_switching'").collect()}
+    assert sorted(places, key=places.get) == [1, 2, 3, 4, 5]  # levels move the change, one gain for all
+    assert len({r.gain for r in CATALOG.run(spark, "p11_strength_scaling", **given).where("capability_id = 'regime_switching'").collect()}) == 1
