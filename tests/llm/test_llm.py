@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from undertow.llm import bpe, components, html, jpeg, licenses, lines, packing, quality, secrets, simhash, substrings
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -313,3 +315,163 @@ def test_pipeline_stages_hold(spark, tmp_path, corpus):
     good = {i for i, t in long if len(words(t)) >= 50 and i < 300}
     assert kept <= good and not kept & {300, 301} and len(kept & set(range(100, 105)) | kept & {10 - len(ODD)}) <= 2
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "secrets", "packing"]
+
+
+def test_inferred_formats_find_what_patterns_miss(spark):
+    rng = random.Random(11)
+    held = secrets.labelled_credentials(30, seed=99)  # strings that no automaton was fitted on
+    prose = lambda: " ".join("".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randint(2, 11))) for _ in range(30))
+    inside = lambda s: f"{prose()} {s} {prose()}"
+    hidden = [inside(s) for k, v in held.items() if k != "ordinary" for s in v]
+    clean = [inside(s) for s in held["ordinary"]] + [inside(f"user{k}.name{k}@mail{k}.example.com https://www.example.org/a/b-{k}/page_{k}.html") for k in range(200)]
+    rows = {r.doc_id: r for r in secrets.scan(frame(spark, list(enumerate(hidden + clean)))).collect()}
+    patterns = sum(r.n_assign + r.n_access + r.n_hex > 0 for i, r in rows.items() if i < len(hidden))
+    caught = sum(r.spans != "" for i, r in rows.items() if i < len(hidden))
+    wrong = sum(r.spans != "" for i, r in rows.items() if i >= len(hidden))
+    assert patterns <= 0.1 * len(hidden) and caught >= 0.95 * len(hidden) and wrong <= 0.01 * len(clean), (patterns, caught, wrong)
+
+
+def test_a_corpus_teaches_its_own_format(spark):
+    rng = random.Random(5)
+    own = lambda: "zeta-" + "-".join("".join(rng.choices("0123456789", k=4)) for _ in range(4))
+    docs = frame(spark, [(k, f'settings {k}\npassword = "{own()}"\nend') for k in range(120)] + [(1000 + k, f"call me with {own()} please") for k in range(40)] + [(2000 + k, f"see build-{k} of 2024-01-{k % 28 + 1:02} and release_notes_v{k}_final") for k in range(40)] + [(3000, None)])
+    spans = lambda learned: {r.doc_id: r.spans for r in secrets.scan(docs, learned).collect()}
+    before, after = spans(None), spans(secrets.learn(docs))
+    assert sum(before[1000 + k] != "" for k in range(40)) <= 4 and sum(after[1000 + k] != "" for k in range(40)) >= 38
+    assert not any(after[2000 + k] for k in range(40)) and all(after[k].startswith("assign:") for k in range(120)) and after[3000] == ""
+    assert secrets.scan(docs.limit(0), secrets.learn(docs.limit(0))).count() == 0
+
+
+def canonical(lengths):
+    """(code, length) by symbol, by the rule of the standard."""
+    out, code, before = {}, 0, 0
+    for symbol in sorted(lengths, key=lambda s: (lengths[s], s)):
+        code <<= lengths[symbol] - before
+        before = lengths[symbol]
+        out[symbol] = code, before
+        code += 1
+    return out
+
+
+def other_encoder(parts, width, height, blocks, restart=0):
+    """A picture by a plain encoder of its own: parts (h, v) sampling of components, blocks {component: rows of 64}; tables of several lengths."""
+    size = lambda v: abs(v).bit_length()
+    dc, ac = canonical({s: n for s, n in zip(range(12), (2, 3, 3, 3, 3, 3, 4, 5, 6, 7, 8, 9))}), canonical({s: n for s, n in zip((0x00, 0x01, 0x02, 0x03, 0x11, 0xF0, 0x12, 0x04, 0x21, 0x05, 0x31, 0x06, 0x07, 0x08), (3, 2, 3, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16))})
+    most = max(p[0] for p in parts), max(p[1] for p in parts)
+    units = -(-width // 8) * -(-height // 8) if len(parts) == 1 else -(-width // (8 * most[0])) * -(-height // (8 * most[1]))
+    order = [0] if len(parts) == 1 else [k for k, p in enumerate(parts) for _ in range(p[0] * p[1])]
+    feeds, scan, bits, before = [iter(blocks[k]) for k in range(len(parts))], bytearray(), "", [0] * len(parts)
+    put = lambda table, symbol, v, n: format(table[symbol][0], f"0{table[symbol][1]}b") + (format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else "")
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        for k in range(0, len(bits), 8):
+            byte = int(bits[k : k + 8], 2)
+            scan.extend((byte, 0) if byte == 255 else (byte,))
+        bits = ""
+
+    for unit in range(units):
+        if restart and unit and unit % restart == 0:
+            flush()
+            scan.extend((0xFF, 0xD0 + (unit // restart - 1) % 8))
+            before = [0] * len(parts)
+        for k in order:
+            block = next(feeds[k])
+            d, before[k] = block[0] - before[k], block[0]
+            bits += put(dc, size(d), d, size(d))
+            run = 0
+            last = max((i for i in range(64) if block[i] and i), default=0)
+            for v in block[1 : last + 1]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15 or run and (run << 4 | size(v)) not in ac:
+                    if run < 16:  # a run without a code of its own: shorter ones can't stand for it
+                        raise ValueError("pick blocks that the table can code")
+                    bits += put(ac, 0xF0, 0, 0)
+                    run -= 16
+                bits += put(ac, run << 4 | size(v), v, size(v))
+                run = 0
+            if last < 63:
+                bits += put(ac, 0x00, 0, 0)
+    flush()
+    seg = jpeg.segment
+    table = lambda kind, t: bytes([kind, *[sum(n == k for _, n in t.values()) for k in range(1, 17)], *sorted(t, key=lambda s: (t[s][1], s))])
+    frame_ = bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), len(parts)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(parts))
+    ahead = bytes([len(parts)]) + b"".join(bytes([k + 1, 0]) for k in range(len(parts))) + bytes([0, 63, 0])
+    return b"\xff\xd8" + seg(0xE0, b"other") + seg(0xDB, bytes([0, 3, *[5] * 63])) + seg(0xC0, frame_) + seg(0xC4, table(0x00, dc)) + seg(0xC4, table(0x10, ac)) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"") + seg(0xDA, ahead) + bytes(scan) + b"\xff\xd9"
+
+
+def plain_blocks(rng, n):
+    out = []
+    for _ in range(n):
+        block = [rng.randint(-300, 300)] + [0] * 63
+        at = 1
+        while at < 64 and rng.random() < 0.9:
+            run = rng.choice((0, 0, 0, 1, 2, 3, 16, 32))
+            at += run
+            if at > 63:
+                break
+            most = {0: 255, 1: 3, 2: 1, 3: 1}.get(run % 16, 1)
+            block[at] = rng.choice((-1, 1)) * rng.randint(1, most if run % 16 == run or run % 16 == 0 else 1)
+            at += 1
+        out.append(block)
+    return out
+
+
+@pytest.mark.parametrize("parts, width, height, restart", [([(1, 1)], 40, 24, 0), ([(1, 1)], 41, 17, 1), ([(1, 1)], 64, 64, 5), ([(2, 2), (1, 1), (1, 1)], 33, 20, 0), ([(2, 1), (1, 1), (1, 1)], 48, 16, 2)])
+def test_jpeg_of_another_encoder(parts, width, height, restart):
+    rng = random.Random(width)
+    most = max(p[0] for p in parts), max(p[1] for p in parts)
+    units = -(-width // 8) * -(-height // 8) if len(parts) == 1 else -(-width // (8 * most[0])) * -(-height // (8 * most[1]))
+    blocks = [plain_blocks(rng, units * (p[0] * p[1] if len(parts) > 1 else 1)) for p in parts]
+    media = other_encoder(parts, width, height, blocks, restart)
+    ((image, got),) = jpeg.decode_many([media])
+    assert got.tolist() == blocks[0] and image.walk().tolist() == blocks[0] and (image.width, image.height) == (width, height)
+    assert jpeg.stored(image, got) is None and image.thumbnail(got).size == len(blocks[0])
+
+
+def test_jpeg_features_of_nulls_and_damage(spark):
+    good = jpeg.encode(bytes(range(256)) * 4)
+    files = [None, b"", b"GIF89a", good[: len(good) // 2], good[:-40] + b"\xff\xd9", good, good.replace(b"\xff\xc0", b"\xff\xc2")]
+    rows = {r.doc_id: r for r in jpeg.features(spark.createDataFrame([(k, 1, f) for k, f in enumerate(files)], "doc_id long, n_bytes long, media binary")).collect()}
+    assert [rows[k].payload_bytes for k in range(7)] == [None, None, None, None, None, 1024, None]
+    assert rows[0].media_bytes is None and rows[3].media_bytes == len(good) // 2 and rows[5].feature.startswith("32x32:")
+    assert jpeg.store_and_read(frame(spark, [])).count() == 0
+
+
+def test_pages_of_any_length_render_in_time():
+    long = {"open tags": "<a " * 100_000, "nested": "<div>" * 100_000 + "x", "crossed": "<b>" * 50_000 + "</i>" * 50_000 + "x", "lists": "<ul><li>x" * 20_000, "quotes": "<a \"x>" * 50_000, "in a cell": "<p><table><td>" + "<div>" * 100_000 + "x"}
+    began = time.time()
+    shown = {name: html.render(page) for name, page in long.items()}
+    assert time.time() - began < 60 and shown["open tags"].count("<a") == 100_000 and shown["nested"] == shown["crossed"] == shown["in a cell"] == "x" and shown["lists"].count("x") == 20_000
+    assert html.render("<table><tr><td>" + "w" * 3000 + "<td>b<tr><td>a<td>c</table>").split("\n")[1].split() == ["a", "c"]
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = frame(spark, [])
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert not any(q.count() for q in (quality.judge(none, []), quality.keep(none, []), secrets.redact(none), licenses.scan(none), html.extract(pages), lines.report(none), lines.drop_lines(none)))
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, text, "mine", "my rule", 99, True), (2, "short", "x", "y", 1, None)], "doc_id long, text string, kept string, rule string, n_words long, base_failed boolean")
+    assert [tuple(r) for r in quality.keep(docs, []).collect()] == [(1, text, "mine", "my rule", 99, True)]
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    same = "one line of some length here, shared by two"
+    docs = frame(spark, [(1, same), (2, same + "\nprecious content that occurs once only"), (2, "qqq\n" + same + "\nanother precious line that occurs once"), (None, same)])
+    texts = sorted((r.doc_id or 0, r.text) for r in lines.drop_lines(docs).collect())
+    assert texts == [(0, same), (1, same), (2, "precious content that occurs once only"), (2, "qqq\nanother precious line that occurs once")]
+
+
+def test_rules_as_expression_equal_rules_in_python(spark):
+    rng = random.Random(3)
+    rules = [[("n_words", "<=", 60.0), ("symbols_per_word", ">", 0.1)], [("repeat_share", ">", 0.2)], [("mean_word_length", "<=", 3.5)]]
+    docs = frame(spark, [(k, " ".join(rng.choice(("a", "bb", "ccc", "#", "dddd", f"w{k % 7}", "long-word")) for _ in range(rng.randint(1, 150)))) for k in range(150)])
+    rows = quality.judge(docs, rules).select("*", *[F.expr(e).alias("_" + f) for f, e in quality.FEATURES.items()]).collect()
+    first = lambda r: next((n for n, rule in enumerate(rules, 1) if quality.holds(rule, {f: r["_" + f] for f in quality.FEATURES})), 0)
+    assert {r.rule for r in rows} > {0} and all(r.rule == first(r) and r.kept == (not r.base_failed and r.rule == 0) for r in rows)

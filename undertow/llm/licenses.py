@@ -10,7 +10,8 @@ every passage with enough coverage holds one. A stretch reaches a template's len
 stretches that overlap are one.
 
 Defined results: nulls and texts without license words give no rows; texts are scanned whole; passages of one
-text don't overlap, and of several templates the one with most aligned words holds a passage.
+text don't overlap, and of several templates the one with most aligned words holds a passage, of equally long ones the
+one that begins first, then the first by name. Rows that repeat are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations

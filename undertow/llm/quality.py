@@ -152,7 +152,7 @@ def expression(rules: Sequence[Sequence[Literal]]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Literal]]:
     """Learn the list from labels (doc_id, quality: 0 is bad) of documents that the base rule lets pass. The sample is small enough to be broadcast."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    part = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    part = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text"), "text").limit(sample)  # an id may repeat
     values = statistics(part).where(~base_failed()).select(*[F.expr(e).alias(f) for f, e in FEATURES.items()], "quality", "doc_id")
     rows = sorted((r["doc_id"], r["quality"], [r[f] for f in FEATURES]) for r in values.collect())
     return learn([(dict(zip(FEATURES, v)), q == 0) for _, q, v in rows])
@@ -163,3 +163,10 @@ def judge(docs: DataFrame, rules: Sequence[Sequence[Literal]]) -> DataFrame:
     out = statistics(docs.drop("base_failed", "rule", "kept"))
     out = out.withColumn("base_failed", base_failed()).withColumn("rule", expression(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep(docs: DataFrame, rules: Sequence[Sequence[Literal]]) -> DataFrame:
+    """The rows of docs that are kept, with all of their columns, whatever these are called."""
+    inner = {c: c if c in ("doc_id", "text") else f"_column_{k}" for k, c in enumerate(docs.columns)}
+    held = judge(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), rules).where("kept")
+    return held.select(*[F.col(n).alias(c) for c, n in inner.items()])

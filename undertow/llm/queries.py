@@ -26,7 +26,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.learn(docs))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

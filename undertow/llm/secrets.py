@@ -7,8 +7,15 @@ A candidate is a maximal run of credential characters with a digit and a letter.
 format's automaton and under one inferred from ordinary strings, as the difference of log likelihoods for each
 character; it counts as a secret above a margin that no held-out ordinary string reaches.
 
+Labelled strings come from two places: a table of public formats, and the corpus itself, where what follows an
+assignment (``password = ...``) is a labelled credential of the format ``corpus``. Of these, ``SAMPLE`` distinct ones
+at most are taken, the smallest by hash; fewer than ``LEAST`` make no format. So a format that a corpus uses is found
+where it stands without an assignment, too.
+
 Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; texts are
-scanned whole. Spans of the patterns always stay; those of automata are added where no pattern's span overlaps.
+scanned whole, very long ones too. Spans of the patterns always stay; those of automata are added where no pattern's
+span overlaps; of several formats the likeliest names a span, and of equally likely ones the last by name. Rows that
+repeat are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import random
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from undertow.llm.arrow import map_rows
 
@@ -29,6 +36,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
+#: Labelled strings taken from a corpus at most, and at least, for a format of its own.
+SAMPLE, LEAST = 2000, 40
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Public credential formats, as name: (prefix, alphabet of the rest, its length).
 FORMATS = {
@@ -59,7 +68,22 @@ def labelled_credentials(each: int = 120, seed: int = 7) -> dict[str, list[str]]
         lambda: "".join(word() for _ in range(rng.randint(5, 9))) + str(rng.randint(0, 9999)),
     )
     kinds += (lambda: f"{word()}{rng.randint(0, 99)}.{word()}{rng.choice(('le', 'mple', ''))}.{rng.choice(('com', 'org', 'net'))}",) * 2
-    return out | {"ordinary": [rng.choice(kinds)() for _ in range(4 * each)]}
+    digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    kinds += (lambda: "-".join(digits(n) for n in (8, 4, 4, 4, 12)), lambda: f"{word().upper()}_20{rng.randint(0, 29):02}{rng.randint(1, 12):02}{rng.randint(1, 28):02}_{rng.randint(0, 235959):06}.{rng.choice(('jpg', 'png', 'log'))}")
+    # Names, paths and versions at large: words and numbers of some kind in a row, between separators.
+    number = lambda: str(rng.randint(0, 10 ** rng.randint(1, 4)))
+    part = lambda: rng.choice((word, word, word, lambda: word().title(), lambda: word().upper(), number, lambda: word() + number(), lambda: rng.choice(LOWER)))()
+
+    def joined_parts() -> str:
+        marks = rng.choice(("-", "_", ".", "/", "./", "/-", "/_.", "-_.", "=-", "/.-_"))
+        parts = [part() for _ in range(rng.randint(2, 9))]
+        return "".join(x for p in parts for x in (p, rng.choice(marks)))[:-1] + rng.choice(("", "", ".html", ".txt", ".tar.gz", ".com", ".example.org"))
+
+    ordinary = [rng.choice(kinds)() for _ in range(4 * each)]
+    while len(ordinary) < 12 * each:
+        if len(s := joined_parts()) >= 16:
+            ordinary.append(s)
+    return out | {"ordinary": ordinary}
 
 
 class Automaton:
@@ -184,7 +208,7 @@ class Scanner:
         assign, access, run = self.base
         low = text.lower()
         spans = []
-        if "passw" in low or "secret" in low or "token" in low or "api" in low or "K" in text:
+        if "passw" in low or "secret" in low or "token" in low or "api" in low:
             spans += [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= 12]
         if "AKIA" in text:
             spans += [(m.start(), 1, "access", m.end()) for m in access.finditer(text) if m.end() - m.start() >= 18]
@@ -206,14 +230,26 @@ def scanner() -> Scanner:
     return Scanner(labelled_credentials())
 
 
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
+    """A scanner of the public formats and of the credentials that docs assign. The driver sees the sample only."""
+    found = docs.where(F.col("text").rlike(ASSIGN)).select(F.explode(F.expr(f"regexp_extract_all(text, {literal(ASSIGN)}, 2)")).alias("value"))
+    rows = found.where("length(value) BETWEEN 12 AND 200").distinct().orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+    return scanner() if len(rows) < LEAST else Scanner(labelled_credentials() | {"corpus": [r["value"] for r in rows]})
+
+
+def literal(text: str) -> str:
+    """A string as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, learned: Scanner | None = None) -> DataFrame:
     """Every document's spans: doc_id, counts of each pattern, digest of the patterns' spans, all spans."""
 
-    learned = scanner()
+    learned = learned or scanner()
 
     def make():
         find = learned.scan
@@ -228,10 +264,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_inferred long", make)
 
 
-def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", learned: Scanner | None = None) -> DataFrame:
     """The documents with every span of ``scan`` replaced; overlapping spans become one. Other columns, and texts
     without spans, nulls included, stay as they are; n_chars follows the text where the column exists."""
-    names, schema, learned = docs.columns, docs.schema, scanner()
+    names, schema, learned = docs.columns, docs.schema, learned or scanner()
 
     def cover(text):
         spans = learned.scan(text)
