@@ -10,7 +10,7 @@ one error in each. So two fingerprints with at most three differing bits always
 pair of segments the value of the first and an index of the second, or the indices of all three, of which each
 side asks for some. Fingerprints
 that share a key are compared in full, and a key hands on links that join its members, one fewer than members at
-most, instead of all pairs.
+most, instead of all pairs. Keys are sorted by Spark, which can spill, and a worker holds a batch and the members of one key.
 
 Defined results: nulls and texts without words have fingerprint zero, and link like any other; equal
 fingerprints are one node, so copies are never paired; an empty table gives no rows.
@@ -149,6 +149,20 @@ def joining(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def whole_groups(batches):
+    """(key, fingerprint) arrays of sorted batches, cut where the group (the key but for its last bit) changes."""
+    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
+        at = int(np.searchsorted(key >> 1, key[-1] >> 1)) if len(key) else 0
+        if at:
+            yield key[:at], fp[:at]
+            key, fp = key[at:], fp[at:]
+    if len(key):
+        yield key, fp
+
+
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that join all those at most ``bits`` (3 or fewer) apart."""
     if not 0 <= bits <= 3:
@@ -166,29 +180,21 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     def compare(batches):
         import pyarrow as pa
 
-        key, fp = [], []
-        for batch in batches:
-            key.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fp.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not key:
-            return
-        key, fp = np.concatenate(key), np.concatenate(fp).view(np.uint64)
-        order = np.lexsort((fp, key))  # within a key those found come before those that ask
-        key, fp = key[order], fp[order]
-        group = key >> 1
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        ends = np.append(starts[1:], len(group))
-        use = (ends - starts > 1) & (key[starts] & 1 == 0) & (key[ends - 1] & 1 == 1)  # found by some, asked for by some
-        pairs: set[tuple[int, int]] = set()
-        for a, b in zip(starts[use].tolist(), ends[use].tolist()):
-            members = np.unique(fp[a:b])
-            if len(members) > 1:
-                pairs.update(joining(members, bits))
-        if pairs:
-            both = np.array(sorted(pairs), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    spread = fps.select("fp").mapInArrow(expand, "key long, fp long").repartition(F.expr("shiftright(key, 1)"))
+        for key, fp in whole_groups(batches):
+            group, fp = key >> 1, fp.view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            ends = np.append(starts[1:], len(group))
+            use = (ends - starts > 1) & (key[starts] & 1 == 0) & (key[ends - 1] & 1 == 1)  # found by some, asked for by some
+            pairs: set[tuple[int, int]] = set()
+            for a, b in zip(starts[use].tolist(), ends[use].tolist()):
+                members = np.unique(fp[a:b])
+                if len(members) > 1:
+                    pairs.update(joining(members, bits))
+            if pairs:
+                both = np.array(sorted(pairs), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    spread = fps.select("fp").mapInArrow(expand, "key long, fp long").repartition(F.expr("shiftright(key, 1)")).sortWithinPartitions("key")
     return spread.mapInArrow(compare, "a long, b long").distinct()
 
 
