@@ -121,25 +121,36 @@ def scan(docs: DataFrame, size: int, starts_of) -> DataFrame:
 
 
 def repeated(passed: DataFrame, name: str) -> DataFrame:
-    """doc_id and the places of its rows whose hash came more than once, as the list ``name``."""
+    """doc_id and the places of its rows whose hash came more than once, as the list ``name``. Rows come sorted, so a
+    worker holds one batch, however large a partition or the group of one hash is."""
 
     def run(batches):
         import pyarrow as pa
 
-        rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not rows:
-            return
-        *hashes, doc, place = [np.concatenate(c) for c in zip(*rows)]
-        known = place & 3 == 2
-        rest = np.flatnonzero(~known)
-        order = rest[np.lexsort([h[rest] for h in hashes[::-1]])]
-        same = np.logical_and.reduce([h[order][1:] == h[order][:-1] for h in hashes])
-        if len(order):
-            known[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (place[order] & 3 == 1)
-        if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array((place[known] >> 2).astype(np.int32))], names=["doc_id", "at"])
-
-    found = passed.repartition("key").mapInArrow(run, "doc_id long, at int")
+        held = None  # the last row, whose next is still to come
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            place = columns[-1]
+            sure = place & 3 == 2  # a scan has seen their hash twice and passes on one for all
+            doc, at = [columns[-2][sure]], [place[sure]]
+            rest = [c[~sure] for c in columns]
+            if len(rest[0]):
+                if held is not None:
+                    rest = [np.concatenate([a, b]) for a, b in zip(held[0], rest)]
+                *hashes, ids, places = rest
+                same = np.logical_and.reduce([h[1:] == h[:-1] for h in hashes])
+                known = np.concatenate([[held is not None and held[1]], same]) | np.concatenate([same, [False]]) | (places & 3 == 1)
+                doc.append(ids[:-1][known[:-1]])
+                at.append(places[:-1][known[:-1]])
+                held = [c[-1:] for c in rest], bool(known[-1])
+            yield places_of(pa, np.concatenate(doc), np.concatenate(at))
+        if held is not None and held[1]:
+            yield places_of(pa, held[0][-2], held[0][-1])
+
+    def places_of(pa, doc, place):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((place >> 2).astype(np.int32))], names=["doc_id", "at"])
+
+    found = passed.repartition("key").sortWithinPartitions(*passed.columns[:-2]).mapInArrow(run, "doc_id long, at int")
     return found.groupBy("doc_id").agg(F.collect_list("at").alias(name))
 
 
