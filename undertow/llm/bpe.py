@@ -2,11 +2,12 @@
 
 The encoding of a piece is a path of vocabulary tokens in which every two neighbours are *compatible*: running
 the merges on the two joined would leave the border between them alone. For every prefix of a piece exactly one
-token can be the last of such a path. So one pass over the piece, asking a suffix automaton of the vocabulary
-which tokens end at each byte (longest first), stores that token for each prefix, and following the stored
-tokens backwards from the end gives the ids.
+token can be the last of such a path. So one pass over the piece, asking an automaton of the vocabulary (whose state is the
+longest suffix read that begins a token, after Aho and Corasick) which tokens end at each byte, longest first, stores that
+token for each prefix, and following the stored tokens backwards from the end gives the ids.
 
-Nulls count as empty text; an empty text has no ids. Texts are encoded whole. Equal pieces are encoded once per
+Nulls count as empty text; an empty text has no ids; rows that repeat are encoded each; an empty table gives no rows.
+Texts are encoded whole, very long ones too. Equal pieces are encoded once per
 worker; that store is emptied when it reaches ``CACHE`` entries, which bounds memory and changes no result.
 """
 
