@@ -100,7 +100,7 @@ def install(c: Catalog) -> None:
         UNION ALL SELECT window_id, dataset, 'regime_switching', level, origin, h, m, t, v FROM regime_profile UNION ALL SELECT window_id, dataset, 'predictable_intermittency', level, origin, h, m, t, v FROM event_profile""")
     c.add("profile_fit", """SELECT window_id, dataset, capability_id, level, min(origin) AS origin, min(h) AS h, min(m) AS m, max(CASE WHEN t = origin - 1 THEN v END) AS last_value, max(CASE WHEN t = 0 THEN v END) AS first_value, avg(CASE WHEN t < origin THEN v END) AS mean_value, avg(CASE WHEN t >= origin - m AND t < origin THEN v END) AS recent,
         regr_slope(CASE WHEN t < origin THEN v END, cast(t AS double)) AS slope, regr_intercept(CASE WHEN t < origin THEN v END, cast(t AS double)) AS intercept, sqrt(avg(CASE WHEN t < origin THEN v * v END)) AS distance FROM profile GROUP BY window_id, dataset, capability_id, level""")
-    c.add("unit_cell", """SELECT l.window_id, l.dataset, l.capability_id, p.level, l.channel_idx, p.t - p.origin AS step, l.scale * l.dir * p.v AS unit, u.observed, l.mase, l.scale, l.dir, l.others FROM profile p JOIN loading l ON p.window_id = l.window_id AND p.capability_id = l.capability_id
+    c.add("unit_cell", """SELECT l.window_id, l.dataset, l.capability_id, p.level, l.channel_idx, p.t - p.origin AS step, p.origin - p.m + (p.t - p.origin) % p.m AS season_t, l.scale * l.dir * p.v AS unit, u.observed, l.mase, l.scale, l.dir, l.others FROM profile p JOIN loading l ON p.window_id = l.window_id AND p.capability_id = l.capability_id
         JOIN fut u ON u.window_id = p.window_id AND u.channel_idx = l.channel_idx AND u.step = p.t - p.origin WHERE p.t >= p.origin""")
     c.add("unit_future", "SELECT window_id, capability_id, level, count(CASE WHEN observed THEN 1 END) AS cells, sqrt(avg(CASE WHEN observed THEN unit * unit END)) AS raw_rms, sqrt(avg(CASE WHEN observed THEN unit * unit / (mase * mase) END)) AS future_rms FROM unit_cell GROUP BY window_id, capability_id, level")
     # Model contexts. Distances are over the last cells of a history that each context sees.
@@ -126,7 +126,7 @@ def install(c: Catalog) -> None:
     blend = "0.5 * c.dir * {0} + 0.5 * (c.dir * f.mean_value + c.others * ({0} - f.mean_value))"
     c.add("unit_fcst", f"""SELECT d.model_id, c.window_id, c.dataset, c.capability_id, c.level, c.channel_idx, c.step, c.unit, c.observed, c.mase, c.scale * c.dir * p.v AS unit_seasonal, c.scale * c.dir * f.last_value AS unit_last, c.scale * CASE d.model_id WHEN 'panel_blend' THEN {blend.format('p.v')} WHEN 'panel_naive' THEN {blend.format('f.last_value')} ELSE c.dir * CASE d.model_id WHEN 'naive' THEN f.last_value WHEN 'seasonal_naive' THEN p.v
         WHEN 'drift' THEN f.last_value + (c.step + 1) * (f.last_value - f.first_value) / greatest(f.origin - 1, 1) WHEN 'mean' THEN f.mean_value WHEN 'moving_average' THEN f.recent ELSE f.intercept + f.slope * (f.origin + c.step) END END AS unit_hat
-        FROM unit_cell c JOIN profile_fit f ON c.window_id = f.window_id AND c.capability_id = f.capability_id AND c.level = f.level JOIN profile p ON p.window_id = c.window_id AND p.capability_id = c.capability_id AND p.level = c.level AND p.t = f.origin - f.m + c.step % f.m CROSS JOIN model d""")
+        FROM unit_cell c JOIN profile_fit f ON c.window_id = f.window_id AND c.capability_id = f.capability_id AND c.level = f.level JOIN profile p ON p.window_id = c.window_id AND p.capability_id = c.capability_id AND p.level = c.level AND p.t = c.season_t CROSS JOIN model d""")
     seen = "CASE WHEN observed THEN {} END"
     c.add("effect_unit", f"""SELECT model_id, window_id, dataset, capability_id, level, count({seen.format(1)}) AS cells, coalesce(sum({seen.format('(unit_hat - unit) * (unit_hat - unit) / (mase * mase)')}), 0) AS sse, coalesce(sum({seen.format('unit * unit / (mase * mase)')}), 0) AS sst, coalesce(sum({seen.format('unit_hat * unit_hat / (mase * mase)')}), 0) AS ssf,
         stddev_pop({seen.format('unit / mase')}) AS su, stddev_pop({seen.format('unit_hat / mase')}) AS sv, covar_pop({seen.format('unit / mase')}, {seen.format('unit_hat / mase')}) AS cov FROM unit_fcst GROUP BY model_id, window_id, dataset, capability_id, level""")

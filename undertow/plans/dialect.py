@@ -114,7 +114,10 @@ class Catalog:
     def text(self, name: str, spark: bool, given: frozenset[str] = frozenset()) -> str:
         *below, last = self.needs(name, given)
         body = lambda n: expand(self.sql[n] if spark else self.other.get(n, self.sql[n]), spark)
-        ctes = ", ".join(f"{n} AS ({body(n)})" for n in below)
+        texts = [body(n) for n in (*below, last)]
+        read = lambda n: sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", t)) for t in texts)
+        kept = lambda n: "" if spark or read(n) < 2 else "MATERIALIZED "
+        ctes = ", ".join(f"{n} AS {kept(n)}({t})" for n, t in zip(below, texts))
         return f"WITH {ctes} {body(last)}" if ctes else body(last)
 
     def run(self, spark: SparkSession, name: str, sf_dir: str | None = None, **given: DataFrame) -> DataFrame:
