@@ -288,3 +288,14 @@ def test_trends_go_on_as_the_history_goes(spark):
     places = {r.level: min((q.t for q in CATALOG.run(spark, "p4_regime_switching", **given).where(f"level = {r.level}").collect() if q.profile > 0)) for r in CATALOG.run(spark, "p11_strength_scaling", **given).where("capability_id = 'regime_switching'").collect()}
     assert sorted(places, key=places.get) == [1, 2, 3, 4, 5]  # levels move the change, one gain for all
     assert len({r.gain for r in CATALOG.run(spark, "p11_strength_scaling", **given).where("capability_id = 'regime_switching'").collect()}) == 1
+
+
+def test_pinned_tables_and_json_lines(spark, tmp_path):
+    rows = spark.range(5).selectExpr("id", "cast(id AS string) AS name")
+    rows.write.parquet(str(tmp_path / "t"))
+    record = artifacts.parquet_record(spark, str(tmp_path / "t"))
+    assert record["row_count"] == 5 and artifacts.read_pinned(spark, str(tmp_path / "t"), record["sha256"]).count() == 5
+    with pytest.raises(ValueError, match="digest"):
+        artifacts.read_pinned(spark, str(tmp_path / "t"), "0" * 64)
+    artifacts.write_json_lines(rows, str(tmp_path / "l"))
+    assert sorted(map(tuple, artifacts.read_json_lines(spark, str(tmp_path / "l"), rows.schema).collect())) == sorted(map(tuple, rows.collect()))

@@ -67,3 +67,10 @@ def query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(name: str) -> str:
     return CATALOG.text(name, False)
+
+
+def direct(sql: str) -> str:
+    """SQL over relations of the catalog, for the second engine."""
+    once = Catalog(dict(CATALOG.sql), dict(CATALOG.other), [])
+    once.add("direct", sql)
+    return once.text("direct", False)

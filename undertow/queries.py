@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from undertow import plans
+from undertow import plans, stored
 from undertow.operators import kernels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,8 @@ def queries() -> dict[str, Query]:
     out["f11_factors"] = lambda spark, sf_dir: rounded(kernels.factors(history(spark, sf_dir)))
     out["m1_smoothing"] = lambda spark, sf_dir: rounded(kernels.forecast(history(spark, sf_dir), kernels.smoothing))
     out["m3_harmonic_regression"] = lambda spark, sf_dir: rounded(kernels.forecast(history(spark, sf_dir), kernels.harmonic_regression))
-    return out
+    return out | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plans.oracle(name) for name in plans.CATALOG.queries}
+    return {name: plans.oracle(name) for name in plans.CATALOG.queries} | stored.oracle_sql()

@@ -69,6 +69,31 @@ def file_record(path: str) -> dict:
     return {"path": str(path), "sha256": digest.hexdigest(), "bytes": os.path.getsize(path)}
 
 
+def parquet_record(spark: SparkSession, path: str) -> dict:
+    """Path, rows, files and bytes of a Parquet table, and the digest of its files' digests in order; read by Spark, wherever
+    the table lies."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.sha2("content", 256).alias("sha256"), "length")
+    digests = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ",").cast("binary"), 256), F.count("*"), F.sum("length")).first()
+    return {"path": path, "sha256": digests[0], "files": digests[1], "bytes": digests[2], "row_count": spark.read.parquet(path).count()}
+
+
+def read_pinned(spark: SparkSession, path: str, sha256: str) -> DataFrame:
+    """A Parquet table whose digest is known; another digest is an error before anything is read."""
+    found = parquet_record(spark, path)["sha256"]
+    if found != sha256:
+        raise ValueError(f"{path} has the digest {found}, not {sha256}")
+    return spark.read.parquet(path)
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of JSON lines under a schema; a line that doesn't parse is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_json(path: str, value) -> None:
     """A JSON file that is there whole or not at all."""
     target = Path(path)
