@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from undertow.plans.dialect import Catalog
 
+#: The forecasters of ``model``.
+MODELS = ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend", "panel_blend", "panel_naive")
 REPS = 2000
 STRATUM_REPS = 20000
 
@@ -106,7 +108,12 @@ def resampling(c: Catalog) -> None:
     c.add("stratum", "SELECT model_id, capability_id, window_id, sum(sse) AS sse, sum(sst) AS sst FROM effect WHERE status = 'scored' GROUP BY model_id, capability_id, window_id")
     c.add("stratum_index", "SELECT capability_id, window_id, cast(row_number() OVER (PARTITION BY capability_id ORDER BY window_id) - 1 AS bigint) AS i, count(*) OVER (PARTITION BY capability_id) AS n FROM (SELECT DISTINCT capability_id, window_id FROM stratum) q")
     c.add("stratum_draw", f"SELECT s.rep, s.capability_id, cast(floor($U(concat(s.capability_id, '|', cast(s.rep AS string), '|', cast(s.i AS string))) * s.n) AS bigint) AS pick FROM (SELECT *, $SEQ(0, {STRATUM_REPS - 1}) AS rep FROM stratum_index) s")
-    c.add("stratum_boot", "SELECT model_id, rep, avg(v) AS v FROM (SELECT s.model_id, d.rep, d.capability_id, avg(sqrt(s.sse / nullif(s.sst, 0))) AS v FROM stratum_draw d JOIN stratum_index i ON d.capability_id = i.capability_id AND d.pick = i.i JOIN stratum s ON s.capability_id = i.capability_id AND s.window_id = i.window_id GROUP BY s.model_id, d.rep, d.capability_id) q GROUP BY model_id, rep")
+    # One row for a window with a column for each model: a draw is joined once, not once for each model.
+    wide = ", ".join(f"max(CASE WHEN model_id = '{m}' THEN sqrt(sse / nullif(sst, 0)) END) AS {m}" for m in MODELS)
+    means = lambda of: ", ".join(f"avg({of}{m}) AS {m}" for m in MODELS)
+    c.add("stratum_wide", f"SELECT capability_id, window_id, {wide} FROM stratum GROUP BY capability_id, window_id")
+    c.add("stratum_means", f"SELECT rep, {means('')} FROM (SELECT d.rep, d.capability_id, {means('s.')} FROM stratum_draw d JOIN stratum_index i ON d.capability_id = i.capability_id AND d.pick = i.i JOIN stratum_wide s ON s.capability_id = i.capability_id AND s.window_id = i.window_id GROUP BY d.rep, d.capability_id) q GROUP BY rep")
+    c.add("stratum_boot", "SELECT m.model_id, b.rep, CASE m.model_id " + " ".join(f"WHEN '{m}' THEN b.{m}" for m in MODELS) + " END AS v FROM stratum_means b CROSS JOIN model m")
     q("b4_stratified_bootstrap", "SELECT model_id, $EXACT(avg(v)) AS mean, $EXACT($PCT(v, 0.025)) AS lo, $EXACT($PCT(v, 0.975)) AS hi FROM stratum_boot GROUP BY model_id")
     q("b5_significance", "SELECT model_id, count(CASE WHEN verdict = 'win' THEN 1 END) AS wins, count(CASE WHEN verdict = 'loss' THEN 1 END) AS losses, count(CASE WHEN verdict = 'ns' THEN 1 END) AS ns FROM (SELECT left_model AS model_id, CASE WHEN hi < 0 THEN 'win' WHEN lo > 0 THEN 'loss' ELSE 'ns' END AS verdict FROM pair_ci UNION ALL SELECT right_model, CASE WHEN lo > 0 THEN 'win' WHEN hi < 0 THEN 'loss' ELSE 'ns' END FROM pair_ci) q GROUP BY model_id")
     q("b6_paired_strata", "SELECT l.model_id AS left_model, r.model_id AS right_model, $EXACT($PCT(l.v - r.v, 0.025)) AS lo, $EXACT($PCT(l.v - r.v, 0.975)) AS hi FROM stratum_boot l JOIN stratum_boot r ON l.rep = r.rep AND l.model_id < r.model_id GROUP BY l.model_id, r.model_id")
@@ -143,6 +150,6 @@ def joins(c: Catalog) -> None:
     q("j11_range", "SELECT w.window_id, k.ctx, count(*) AS cells FROM win w JOIN (SELECT 24 AS ctx UNION ALL SELECT 96) k ON w.origin > k.ctx JOIN panel p ON p.dataset = w.dataset AND p.channel_idx = 0 AND p.t >= w.origin - k.ctx AND p.t < w.origin GROUP BY w.window_id, k.ctx")
     q("j12_set_operations", "SELECT 'both' AS part, task_id FROM (SELECT task_id FROM task_rank WHERE model_id = 'naive' AND place <= 3 INTERSECT SELECT task_id FROM task_rank WHERE model_id = 'drift' AND place <= 3) q UNION ALL SELECT 'only', task_id FROM (SELECT task_id FROM task_rank WHERE model_id = 'naive' AND place <= 3 EXCEPT SELECT task_id FROM task_rank WHERE model_id = 'drift' AND place <= 3) q")
     q("j13_ordered_dedup", "SELECT event_type, first_event FROM (SELECT event_type, event_id AS first_event, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) q WHERE n = 1")
-    q("j14_pivot", "SELECT task_id, " + ", ".join(f"$EXACT(max(CASE WHEN model_id = '{m}' THEN mase END)) AS {m}" for m in ("naive", "seasonal_naive", "drift", "mean", "moving_average", "ols_trend", "panel_blend", "panel_naive")) + " FROM task_accuracy GROUP BY task_id")
+    q("j14_pivot", "SELECT task_id, " + ", ".join(f"$EXACT(max(CASE WHEN model_id = '{m}' THEN mase END)) AS {m}" for m in MODELS) + " FROM task_accuracy GROUP BY task_id")
     q("j15_explorer", "SELECT t.dataset, t.capability_id, count(DISTINCT t.window_id) AS windows, count(DISTINCT t.level) AS levels, min(t.window_id) AS first_window, count(e.model_id) AS effects, $EXACT(avg(e.nrmse)) AS nrmse FROM treatment t LEFT JOIN effect e ON t.window_id = e.window_id AND t.capability_id = e.capability_id AND t.level = e.level GROUP BY t.dataset, t.capability_id")
     q("x1_hourly_events", "SELECT event_type, $HOUR(ts) AS hour, count(*) AS n, $EXACT(sum(value)) AS total FROM events GROUP BY event_type, $HOUR(ts)")
