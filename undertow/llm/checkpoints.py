@@ -27,13 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame) -> DataFrame:
-    """The same rows, written once as compressed Parquet in the shared folder and read again. For wide rows, of
-    which a checkpoint would keep an uncompressed copy."""
+def table(df: DataFrame, hashes: bool = False) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder and read again. For wide rows, of which a
+    checkpoint would keep an uncompressed copy; ``hashes`` spares columns that nothing makes smaller the attempt."""
     spark = df.sparkSession
     ensure_folder(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.undertow_path = path
     return out
