@@ -5,7 +5,7 @@ tree with counts; two states merge when, by the Hoeffding bound, their symbol an
 the states below them, could come from one source. What is left is a deterministic automaton with probabilities.
 A candidate is a maximal run of credential characters with a digit and a letter. It is scored under every
 format's automaton and under one inferred from ordinary strings, as the difference of log likelihoods for each
-character; it counts as a secret above a margin that no held-out ordinary string reaches.
+character; it counts as a secret above the margin that errs least on strings held out, where false hits weigh most.
 
 Labelled strings come from two places: a table of public formats, and the corpus itself, where what follows an
 assignment (``password = ...``) is a labelled credential of the format ``corpus``. Of these, ``SAMPLE`` distinct ones
@@ -24,6 +24,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
@@ -38,6 +39,8 @@ KINDS = ("assign", "access", "hex")
 
 #: Labelled strings taken from a corpus at most, and at least, for a format of its own.
 SAMPLE, LEAST = 2000, 40
+#: How many shares of missed credentials an equal share of flagged ordinary strings weighs.
+FALSE_COST = 20
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Public credential formats, as name: (prefix, alphabet of the rest, its length).
 FORMATS = {
@@ -53,10 +56,10 @@ FORMATS = {
 
 
 def labelled_credentials(each: int = 120, seed: int = 7) -> dict[str, list[str]]:
-    """Labelled strings: ``each`` of every public format, and as many ordinary ones under ``ordinary``."""
+    """Labelled strings: three times ``each`` of every public format, and twelve times as many ordinary ones under ``ordinary``."""
     rng = random.Random(seed)
     pick = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
-    out = {name: [prefix + pick(alphabet, n) for _ in range(each)] for name, (prefix, alphabet, n) in FORMATS.items()}
+    out = {name: [prefix + pick(alphabet, n) for _ in range(3 * each)] for name, (prefix, alphabet, n) in FORMATS.items()}
     word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
     kinds = (
         lambda: "-".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99)),
@@ -192,9 +195,16 @@ class Scanner:
         self.ordinary = Automaton(fit["ordinary"])
         self.formats = {k: Automaton(v) for k, v in fit.items() if k != "ordinary"}
         self.candidate = re.compile(rf"[A-Za-z0-9_-][A-Za-z0-9+/_.=-]{{{least - 2},}}[A-Za-z0-9_=-]")
-        clean = max(self.margin(s)[0] for s in held["ordinary"])
-        secret = min(self.margin(s)[0] for k, v in held.items() if k != "ordinary" for s in v)
-        self.threshold = max(clean + 0.5 * abs(clean), (clean + secret) / 2)
+        clean = sorted(self.margin(s)[0] for s in held["ordinary"])
+        secret = sorted(self.margin(s)[0] for k, v in held.items() if k != "ordinary" for s in v)
+
+        def cost(t: float) -> float:
+            return bisect_right(secret, t) / len(secret) + FALSE_COST * (1 - bisect_right(clean, t) / len(clean))
+
+        tried = sorted({*clean, *secret})
+        least_cost = min(map(cost, tried))
+        best = [t for t in tried if cost(t) <= least_cost + 1e-9]
+        self.threshold = (best[0] + best[-1]) / 2
         self.base = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 
     def margin(self, s: str) -> tuple[float, str]:
