@@ -31,13 +31,13 @@ def windows(c: Catalog) -> None:
     q("w8_covariate_orientation", "SELECT item_id, CASE WHEN rows_ = n THEN 'time_major' WHEN columns_ = n THEN 'channel_major' ELSE 'error' END AS orientation FROM (SELECT item_id, cast($SIZE($GET(cov, 0)) AS bigint) AS columns_, cast($SIZE(cov) AS bigint) AS rows_, n FROM (SELECT item_id, $ARRAY(past_cov, past_cov) AS cov, $SIZE(target) AS n FROM series WHERE channel_idx = 0) q) q")
     q("w9_covariate_roles", "SELECT item_id, cast($SIZE(names) AS bigint) AS k, $GET(names, 0) AS first_name, $GET(visible, 0) AS first_visible, $GET(visible, 2) AS last_visible FROM (SELECT item_id, $CAT($ARRAY('event_count', 'lag'), $ARRAY('hour')) AS names, $CAT($ARRAY(false, false), $ARRAY(true)) AS visible FROM series WHERE channel_idx = 0) q")
     q("w10_source_prefix", "SELECT dataset, window_id FROM (SELECT dataset, window_id, row_number() OVER (ORDER BY dataset, w) AS source_ord FROM win) q WHERE source_ord <= 5")
+    # Tasks of the suite, with configurations and domains, and the configurations of the longer terms.
     c.add("registry", """SELECT * FROM (VALUES ('gift_electricity_h', 'electricity/H', 'Energy'), ('gift_solar_h', 'solar/H', 'Energy'), ('gift_ett1_h', 'ett1/H', 'Energy'), ('gift_ett2_h', 'ett2/H', 'Energy'), ('gift_jena_weather_h', 'jena_weather/H', 'Nature'), ('gift_kdd_cup_h', 'kdd_cup_2018_with_missing/H', 'Nature'),
         ('gift_loop_seattle_h', 'LOOP_SEATTLE/H', 'Transport'), ('gift_sz_taxi_h', 'SZ_TAXI/H', 'Transport'), ('gift_m_dense_h', 'M_DENSE/H', 'Transport'), ('gift_bitbrains_fast_h', 'bitbrains_fast_storage/H', 'Web/CloudOps'), ('gift_bitbrains_rnd_h', 'bitbrains_rnd/H', 'Web/CloudOps'), ('gift_bizitobs_l2c_h', 'bizitobs_l2c/H', 'Web/CloudOps'),
         ('gift_bizitobs_application', 'bizitobs_application', 'Web/CloudOps'), ('gift_bizitobs_service', 'bizitobs_service', 'Web/CloudOps'), ('gift_restaurant_d', 'restaurant', 'Business'), ('gift_hierarchical_sales_d', 'hierarchical_sales/D', 'Business'), ('gift_m4_hourly', 'm4_hourly', 'Mixed'), ('gift_us_births_d', 'us_births/D', 'Nature'), ('gift_saugeenday_d', 'saugeenday/D', 'Nature'), ('gift_temperature_rain_d', 'temperature_rain_with_missing', 'Nature')) AS v(dataset_id, config_id, domain)""")
     c.add("long_config", "SELECT * FROM (VALUES ('electricity/15T'), ('electricity/H'), ('solar/10T'), ('solar/H'), ('kdd_cup_2018_with_missing/H'), ('LOOP_SEATTLE/5T'), ('LOOP_SEATTLE/H'), ('SZ_TAXI/15T'), ('M_DENSE/H'), ('ett1/15T'), ('ett1/H'), ('ett2/15T'), ('ett2/H'), ('jena_weather/10T'), ('jena_weather/H'), ('bitbrains_fast_storage/5T'), ('bitbrains_rnd/5T'), ('bizitobs_application'), ('bizitobs_service'), ('bizitobs_l2c/5T'), ('bizitobs_l2c/H')) AS v(config_id)")
     q("w11_configured_suite", "SELECT 'short' AS term, dataset_id FROM registry UNION ALL SELECT 'medium', dataset_id FROM registry WHERE config_id IN (SELECT config_id FROM long_config) UNION ALL SELECT 'long', dataset_id FROM registry WHERE config_id IN (SELECT config_id FROM long_config)")
     q("w12_cutoff", "SELECT dataset, cutoff, CASE WHEN cutoff < 0 THEN n + cutoff ELSE cutoff END AS resolved FROM extent CROSS JOIN (VALUES (-48), (-2), (100)) AS v(cutoff)")
-    # Fixed values of the suite above: task ids, configurations and domains.
     q("w13_context_suffix", "SELECT k.model_id, p.window_id, count(*) AS cells, max(p.origin) < 32 AS below_minimum, $EXACT(sum(p.value)) AS total FROM hist p CROSS JOIN (SELECT 'short' AS model_id, 96 AS max_context UNION ALL SELECT 'medium', 512 UNION ALL SELECT model_id, max_context FROM context) k WHERE p.t >= p.origin - k.max_context GROUP BY k.model_id, p.window_id")
     q("w14_suffix_replay", "SELECT p.window_id, p.capability_id, p.level, k.ctx, count(*) AS cells, $EXACT(sum(p.v)) AS total, $EXACT(max(CASE WHEN p.t = p.origin - 1 THEN p.v END)) AS last_value FROM profile p CROSS JOIN (SELECT 96 AS ctx UNION ALL SELECT DISTINCT max_context FROM context) k WHERE p.t >= p.origin - k.ctx AND p.t < p.origin GROUP BY p.window_id, p.capability_id, p.level, k.ctx")
     q("w15_instance_audit", "SELECT w.dataset, count(DISTINCT w.window_id) AS instances, cast(sum(w.h) AS bigint) AS cells, min(w.origin) AS min_context, max(w.origin) AS max_context, count(DISTINCT k.channel_idx) AS target_dim FROM win w JOIN chan k ON w.dataset = k.dataset GROUP BY w.dataset")
@@ -167,6 +167,7 @@ def validation(c: Catalog) -> None:
 
 def adaptation(c: Catalog) -> None:
     q = lambda name, sql: c.add(name, sql, query=True)
+    # Limits of the models.
     c.add("catalog", """SELECT * FROM (VALUES ('Timer-4.0', 8192, 960, 960, cast(NULL AS int), cast(NULL AS int), true, false), ('Timer-3.5', 11520, NULL, NULL, 1, 0, false, false), ('Chronos-2', 8192, 1024, 1024, NULL, NULL, true, false), ('moirai2', NULL, NULL, NULL, 1, 0, false, false),
         ('toto2.0', NULL, NULL, NULL, NULL, 0, false, false), ('timesfm2.5', 15360, 1024, 1024, 1, NULL, true, true), ('tirex2', 2048, 320, 320, NULL, NULL, true, false)) AS v(model_id, max_input, max_output, max_future, max_targets, max_covariates, future_covariates, paired)""")
     c.add("shape", "SELECT w.window_id, w.dataset, w.w, w.origin AS context_length, w.h AS horizon, k.d AS target_dim, x.covariate_dim, x.future_dim FROM win w JOIN (SELECT dataset, count(*) AS d FROM chan GROUP BY dataset) k ON w.dataset = k.dataset CROSS JOIN (VALUES (0, 0), (2, 0), (2, 2), (3, 1)) AS x(covariate_dim, future_dim)")
