@@ -183,7 +183,8 @@ def adaptation(c: Catalog) -> None:
     q("i6_shape_groups", "SELECT model_id, concat('C', cast(context_length AS string), '_H', cast(horizon AS string), '_D', cast(d AS string), '_K', cast(k AS string)) AS label, count(*) AS requests FROM child GROUP BY model_id, context_length, horizon, d, k")
     c.add("cost", "SELECT *, cast(context_length * (d + k) + horizon * k AS bigint) AS tokens FROM child")
     q("i7_token_cost", "SELECT model_id, window_id, covariate_dim, future_dim, request, tokens, cast(tokens + horizon * d AS bigint) AS scheduled FROM cost")
-    q("i8_micro_batches", "SELECT model_id, batch, context_length, d, k, count(*) AS rows_, cast(sum(tokens) AS bigint) AS tokens FROM (SELECT *, cast(floor((row_number() OVER (PARTITION BY model_id, context_length, horizon, d, k ORDER BY window_id, covariate_dim, future_dim, request) - 1) / 4) AS bigint) AS batch FROM cost) q GROUP BY model_id, batch, context_length, d, k")
+    # Requests of a batch have one shape, hence one cost, so bounds on rows, tokens and bytes are one bound on rows.
+    q("i8_micro_batches", "SELECT model_id, batch, context_length, d, k, count(*) AS rows_, cast(sum(tokens) AS bigint) AS tokens, cast(sum(tokens) * 4 AS bigint) AS bytes FROM (SELECT *, cast(floor((row_number() OVER (PARTITION BY model_id, context_length, horizon, d, k ORDER BY window_id, covariate_dim, future_dim, request) - 1) / most) AS bigint) AS batch FROM (SELECT *, greatest(1, least(8, cast(floor(65536.0 / tokens) AS bigint), cast(floor(131072.0 / (4 * tokens)) AS bigint))) AS most FROM cost) q) q GROUP BY model_id, batch, context_length, d, k")
     q("i9_adaptation_summary", "SELECT model_id, target_mode, covariate_mode, count(*) AS samples FROM adapted GROUP BY model_id, target_mode, covariate_mode")
     q("i10_preflight", "SELECT m.model_id, max(w.h) AS horizon, bool_and(m.max_output IS NULL OR w.h <= m.max_output) AS horizon_ok, max(least(w.origin, coalesce(m.max_input, w.origin))) AS context_used FROM win w CROSS JOIN catalog m GROUP BY m.model_id")
     q("i11_storage_preflight", "SELECT dataset, cast(count(*) * 51 AS bigint) AS max_views, cast(sum(h) * 51 * 4 * max(d) AS bigint) AS prediction_bytes FROM (SELECT w.dataset, w.h, k.d FROM win w JOIN (SELECT dataset, count(*) AS d FROM chan GROUP BY dataset) k ON w.dataset = k.dataset) q GROUP BY dataset")
