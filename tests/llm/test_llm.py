@@ -262,6 +262,40 @@ def test_short_and_unspaced_lines_meet(spark):
     assert near[0] and sum(near) > 50 and gone == {2 * k + 1 for k, n in enumerate(near) if n}
 
 
+def template_lines(seed, groups=200):
+    """Pairs of lines near 0.8, all of which share three quarters of a template: bands of hundreds of components."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    head, out = " ".join(word() for _ in range(45)), []
+    for _ in range(groups):
+        own = [word() for _ in range(15)]
+        other = own[:-5] + [word() for _ in range(5)]
+        out += [f"{head} {' '.join(own)}", f"{head} {' '.join(other)}"]
+    return out
+
+
+def links_of(spark, known):
+    """Pairs of lines at 0.8 by brute force: all, and those that share a band; and the lines of the largest band."""
+    sets = [{x[k : k + lines.SHINGLE] for k in range(len(x) - lines.SHINGLE + 1)} for x in known]
+    near = [(a, b) for b in range(len(known)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = frame(spark, list(enumerate(known)))
+    names = {r.h1: r.doc_id for r in lines.occurrences(docs).select("h1", "doc_id").collect()}
+    bands = {}
+    for r in lines.signatures(docs).collect():
+        t = [r[f"t{i}"] for i in range(lines.TRIPLES)]
+        bands[names[r.h1]] = {x ^ y for k, x in enumerate(t) for y in t[:k]} | {r[f"x{i}"] for i in range(lines.ROWS)}
+    return near, [(a, b) for a, b in near if bands[a] & bands[b]], max(Counter(x for own in bands.values() for x in own).values())
+
+
+@pytest.mark.parametrize("seed", [2, 4])
+def test_large_bands_lose_no_pair(spark, seed):
+    known = template_lines(seed)
+    near, banded, largest = links_of(spark, known)
+    gone = {r.doc_id for r in lines.report(frame(spark, list(enumerate(known)))).collect() if r.n_removed}
+    roots = lambda links: {k for k, root in enumerate(union_find(len(known), links)) if root != k}
+    assert largest > 100 and len(banded) > 50 and roots(banded) <= gone <= roots(near)
+
+
 def test_kept_lines_keep_columns(spark):
     docs = frame(spark, [(1, "one line of some length here\nand another line that is long"), (2, "something else entirely here\none line of some length here"), (3, None)])
     rows = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
