@@ -296,6 +296,17 @@ def test_large_bands_lose_no_pair(spark, seed):
     assert largest > 100 and len(banded) > 50 and roots(banded) <= gone <= roots(near)
 
 
+def test_pipeline_stage_loses_no_pair_of_large_bands(spark):
+    import corpus_pipeline
+
+    known = template_lines(2)
+    near, banded, largest = links_of(spark, known)
+    kept = corpus_pipeline.fresh_lines(spark, frame(spark, list(enumerate(known))), "").collect()
+    gone = {r.doc_id for r in kept if not r.text}
+    roots = lambda links: {k for k, root in enumerate(union_find(len(known), links)) if root != k}
+    assert largest > 100 and len(kept) == len(known) and roots(banded) <= gone <= roots(near)
+
+
 def test_kept_lines_keep_columns(spark):
     docs = frame(spark, [(1, "one line of some length here\nand another line that is long"), (2, "something else entirely here\none line of some length here"), (3, None)])
     rows = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
