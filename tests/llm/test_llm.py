@@ -307,6 +307,26 @@ def test_pipeline_stage_loses_no_pair_of_large_bands(spark):
     assert largest > 100 and len(kept) == len(known) and roots(banded) <= gone <= roots(near)
 
 
+def test_further_links_walk_only_what_they_touch(spark, monkeypatch):
+    rng, walked = random.Random(7), []
+    first = [(k, k + 1) for k in range(0, 400) if k % 5 != 4] + [(500, 900), (700, 900)]
+    more = [tuple(sorted(rng.sample(range(1000), 2))) for _ in range(60)] + [(900, 950), (3, 500)]
+    near = components.components(spark.createDataFrame(first, "a long, b long"))
+    monkeypatch.setattr(lines, "components", lambda links: walked.append(links.count()) or components.components(links))
+    rows = lines.joined(near, spark.createDataFrame(more, "a long, b long")).collect()
+    roots = union_find(1000, [(b, a) for a, b in first + more])
+    assert {r.node: r.component for r in rows} == {k: root for k, root in enumerate(roots) if root != k}
+    assert len(rows) == len({r.node for r in rows}) and walked == [len(more)]
+
+
+def test_only_lines_of_mixed_bands_get_bitmaps(spark, monkeypatch):
+    rng, asked, build = random.Random(3), [], lines.bitmaps
+    known = [w + s for w in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for _ in range(20)) for s in ("one", "two")]
+    monkeypatch.setattr(lines, "bitmaps", lambda texts: asked.append(texts.count()) or build(texts))
+    gone = {r.doc_id for r in lines.report(frame(spark, list(enumerate(known)))).collect() if r.n_removed}
+    assert gone == set(range(1, 40, 2)) and asked == [0]
+
+
 def test_kept_lines_keep_columns(spark):
     docs = frame(spark, [(1, "one line of some length here\nand another line that is long"), (2, "something else entirely here\none line of some length here"), (3, None)])
     rows = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
