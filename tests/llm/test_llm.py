@@ -69,6 +69,20 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == expected and own.decode(ids) == known.decode(expected, skip_special_tokens=False)
 
 
+def test_packing_ids_equal_the_library_whatever_is_stored():
+    from tokenizers import Tokenizer
+
+    library, encoder, rng = Tokenizer.from_file(VOCAB), packing.LibraryEncoder(VOCAB), random.Random(4)
+    encoder.most_known = 60
+    words = ["the", "naïve", "l'été", "don't", "日本語", "x\u00a0y", "12,5%", "\t", "<|endoftext|>", "\x00\x7f", "a.b_c", "😀", "ünder,"]
+    chunks = [["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "", " \n"]) for _ in range(rng.randint(0, 30))) for _ in range(20)] + [None, "one more"] for _ in range(8)]
+    for chunk in chunks:
+        for text, ids in zip(chunk, encoder.encode_all(chunk)):
+            assert list(memoryview(ids).cast("I")) == library.encode(text or "", add_special_tokens=False).ids
+        assert len(encoder.older) + len(encoder.known) < 1500
+    assert encoder.older
+
+
 def test_bpe_rows(spark, corpus):
     docs = frame(spark, corpus)
     rows = {r.doc_id: r for r in bpe.round_trip(docs, VOCAB).collect()}

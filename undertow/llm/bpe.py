@@ -8,11 +8,12 @@ token for each prefix, and following the stored tokens backwards from the end gi
 
 Nulls count as empty text; an empty text has no ids; rows that repeat are encoded each; an empty table gives no rows.
 Texts are encoded whole, very long ones too. Equal pieces are encoded once per
-worker; that store is emptied when it reaches ``CACHE`` entries, which bounds memory and changes no result.
+worker; stores hold ``CACHE`` entries at most between chunks and some, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -40,14 +41,88 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Encoder and decoder of one byte-level vocabulary file."""
+class Encoder:
+    """Cuts texts at the borders of pre-tokens and keeps the ids of the stretches between, which ``learn`` finds."""
 
-    def __init__(self, path: str):
+    #: Stretches whose ids are kept, and as many older ones beside them.
+    most_known = CACHE // 2
+
+    def __init__(self, spec: dict):
         import regex
 
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added = {word: struct.pack("<I", i) for word, i in added.items()}
+        self.split_added = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.any_pieces = regex.compile(PIECES)
+        self.latin_pieces = re.compile(LATIN_PIECES)
+        self.not_latin = re.compile(f"[^{LATIN}]")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, latin: set[str], rest: set[str]) -> None:
+        """Put the ids of plain Latin stretches, and of other pre-tokens, into ``known``."""
+        raise NotImplementedError
+
+    def units(self, text: str) -> tuple[list[str], bool]:
+        """Stretches of a text that start and end at pre-token borders; whether they hold plain Latin only."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.not_latin.search(text):
+            return self.any_pieces.findall(text), False
+        # Single blanks and line ends only: a pre-token starts at each, so the stretches between are independent.
+        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"), True
+
+    def latin_cut(self, unit: str) -> list[str]:
+        """Pre-tokens of a plain Latin stretch; words, and words before a stop, without the pattern."""
+        if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":
+            return [unit]
+        if unit[-1] in ".," and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return [unit[:-1], unit[-1]]
+        return self.latin_pieces.findall(unit)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers. The stretches make no cycles, and looking for
+        some among them would take a sixth of the time."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
+        parts: list[list[str]] = []  # of each text: stretches between added tokens, and these
+        for text in texts:
+            if text and self.split_added and any(w in text for w in self.added):
+                parts.append([p for p in self.split_added.split(text) if p])
+            else:
+                parts.append([text] if text else [])
+        cut = [[([p], True) if p in self.added else self.units(p) for p in x] for x in parts]
+        if len(self.known) >= self.most_known:
+            # Frequent stretches come back from the older half.
+            self.older, self.known = self.known, {}
+        known = self.known
+        known.update(self.added)
+        known[""] = b""
+        latin = set().union(*[units for x in cut for units, plain in x if plain]).difference(known)
+        rest = set().union(*[units for x in cut for units, plain in x if not plain]).difference(known)
+        if self.older:
+            known.update([(u, self.older[u]) for u in (latin | rest).intersection(self.older)])
+            latin, rest = latin.difference(known), rest.difference(known)
+        self.learn(latin, rest)
+        get = known.__getitem__
+        return [b"".join([b"".join(map(get, units)) for units, _ in x]) for x in cut]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one whole text."""
+        return self.encode_all([text])[0]
+
+class Codec(Encoder):
+    """Encoder and decoder of one byte-level vocabulary file."""
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        super().__init__(spec)
         symbol = byte_symbols()
         ids = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -66,14 +141,8 @@ class Codec:
         self.build_automaton(ids.values())
         for word, i in added.items():
             self.bytes_of[i] = word.encode()
-        self.added = {word: struct.pack("<I", i) for word, i in added.items()}
-        self.split_added = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.any_pieces = regex.compile(PIECES)
-        self.latin_pieces = re.compile(LATIN_PIECES)
-        self.not_latin = re.compile(f"[^{LATIN}]")
         self.fits: dict[int, bool] = {}
         self.go: dict[int, int] = {}
-        self.known: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
 
     def build_automaton(self, tokens) -> None:
@@ -142,6 +211,16 @@ class Codec:
         out = self.go[state << 8 | byte] = self.step[at].get(byte, 0)
         return out
 
+    def learn(self, latin: set[str], rest: set[str]) -> None:
+        known, stored = self.known, self.piece
+        if len(stored) >= CACHE:
+            stored.clear()
+        new = dict(zip(latin, map(self.latin_cut, latin)))
+        new.update((u, [u]) for u in rest)
+        self.encode_pieces(set().union(*new.values()).difference(stored))
+        for u, ps in new.items():
+            known[u] = stored[ps[0]] if len(ps) == 1 else b"".join([stored[p] for p in ps])
+
     def encode_pieces(self, pieces: set[str]) -> None:
         """Store the ids of pre-tokens. Sorted, each starts with the tokens that its predecessor's prefix ended in."""
         go, ends, fits, compatible, stored = self.go, self.ends, self.fits, self.compatible, self.piece
@@ -179,50 +258,6 @@ class Codec:
             out.reverse()
             stored[piece] = struct.pack(f"<{len(out)}I", *out)
 
-    def units(self, text: str) -> tuple[list[str], bool]:
-        """Stretches of a text that start and end at pre-token borders; whether they hold plain Latin only."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.not_latin.search(text):
-            return self.any_pieces.findall(text), False
-        # Single blanks and line ends only: a pre-token starts at each, so the stretches between are independent.
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"), True
-
-    def latin_cut(self, unit: str) -> list[str]:
-        """Pre-tokens of a plain Latin stretch; words, and words before a stop, without the pattern."""
-        if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":
-            return [unit]
-        if unit[-1] in ".," and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
-            return [unit[:-1], unit[-1]]
-        return self.latin_pieces.findall(unit)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        parts: list[list[str]] = []  # of each text: stretches between added tokens, and these
-        for text in texts:
-            if text and self.split_added and any(w in text for w in self.added):
-                parts.append([p for p in self.split_added.split(text) if p])
-            else:
-                parts.append([text] if text else [])
-        cut = [[([p], True) if p in self.added else self.units(p) for p in x] for x in parts]
-        known, stored = self.known, self.piece
-        if len(known) >= CACHE:
-            known.clear()
-        if len(stored) >= CACHE:
-            stored.clear()
-        known.update(self.added)
-        known[""] = b""
-        latin = set().union(*[units for x in cut for units, plain in x if plain]).difference(known)
-        new = dict(zip(latin, map(self.latin_cut, latin)))
-        new.update((u, [u]) for u in set().union(*[units for x in cut for units, plain in x if not plain]).difference(known))
-        self.encode_pieces(set().union(*new.values()).difference(stored))
-        for u, ps in new.items():
-            known[u] = stored[ps[0]] if len(ps) == 1 else b"".join([stored[p] for p in ps])
-        get = known.__getitem__
-        return [b"".join([b"".join(map(get, units)) for units, _ in x]) for x in cut]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of one whole text."""
-        return self.encode_all([text])[0]
-
     def decode(self, ids: bytes) -> str:
         """Text of ids, special tokens included; bytes that are no UTF-8 become replacement characters."""
         table = self.bytes_of

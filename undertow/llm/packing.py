@@ -13,6 +13,8 @@ third of all pieces share is ranked by many tasks.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from bisect import bisect_left
 
@@ -20,18 +22,58 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from undertow.llm.arrow import map_chunks
-from undertow.llm.bpe import codec
+from undertow.llm.bpe import Encoder, byte_symbols
 from undertow.llm.checkpoints import cut
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class LibraryEncoder(Encoder):
+    """Ids by the BPE model of the tokenizers library, so that no automaton and no store of pre-tokens is held."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        super().__init__(spec)
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.packed = [struct.pack("<I", i) for i in range(max(spec["model"]["vocab"].values()) + 1)]
+
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a pre-token; the model takes a character for each of its bytes."""
+        if piece.isascii() and piece.isprintable():
+            word = piece.replace(" ", self.symbols[32])
+        else:
+            word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        return b"".join([self.packed[t.id] for t in self.tokenize(word)])
+
+    def learn(self, latin: set[str], rest: set[str]) -> None:
+        known, one = self.known, self.piece_ids
+        for u in latin:
+            ps = self.latin_cut(u)
+            known[u] = one(u) if len(ps) == 1 else b"".join(map(one, ps))
+        for u in rest:
+            known[u] = one(u)
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def encoder(path: str) -> LibraryEncoder:
+    """The encoder of a vocabulary file, made once per Python worker."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1) -> DataFrame:
     """Pieces of every document: full sequences, and a rest where one is left."""
     tail = closing.to_bytes(4, "little")
 
     def make():
-        c = codec(vocab_path)
+        c = encoder(vocab_path)
 
         def rows(doc_ids, texts):
             for i, ids in zip(doc_ids, c.encode_all(texts)):
@@ -43,7 +85,8 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1)
 
         return rows
 
-    return map_chunks(docs.select("doc_id", "text"), PIECE, make)
+    # Larger chunks than usual, as each looks its distinct stretches up once.
+    return map_chunks(docs.select("doc_id", "text"), PIECE, make, chunk=2048, chunk_bytes=8_000_000)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
