@@ -341,6 +341,17 @@ def test_only_lines_of_mixed_bands_get_bitmaps(spark, monkeypatch):
     assert gone == set(range(1, 40, 2)) and asked == [0]
 
 
+def test_lines_move_uncoded():
+    assert "encode(line" in lines.hashed("line")
+
+
+def test_pipeline_packs_with_smaller_stores(monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "pack", lambda docs, path, **memory: memory)
+    assert corpus_pipeline.packed(None, None, "")["known"] < bpe.CACHE // 2
+
+
 def test_kept_lines_keep_columns(spark):
     docs = frame(spark, [(1, "one line of some length here\nand another line that is long"), (2, "something else entirely here\none line of some length here"), (3, None)])
     rows = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
