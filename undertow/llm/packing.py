@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from undertow.llm.arrow import map_chunks
-from undertow.llm.bpe import Encoder, byte_symbols
+from undertow.llm.bpe import CACHE, Encoder, byte_symbols
 from undertow.llm.checkpoints import cut
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -68,12 +68,14 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1) -> DataFrame:
-    """Pieces of every document: full sequences, and a rest where one is left."""
+def pieces(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1, known: int = CACHE // 2, chunk: int = 2048) -> DataFrame:
+    """Pieces of every document: full sequences, and a rest where one is left. ``known`` stretches and ``chunk`` texts
+    at a time are a choice between memory and time; they change no result."""
     tail = closing.to_bytes(4, "little")
 
     def make():
         c = encoder(vocab_path)
+        c.most_known = known
 
         def rows(doc_ids, texts):
             for i, ids in zip(doc_ids, c.encode_all(texts)):
@@ -86,7 +88,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1)
         return rows
 
     # Larger chunks than usual, as each looks its distinct stretches up once.
-    return map_chunks(docs.select("doc_id", "text"), PIECE, make, chunk=2048, chunk_bytes=8_000_000)
+    return map_chunks(docs.select("doc_id", "text"), PIECE, make, chunk=chunk, chunk_bytes=4_000 * chunk)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -140,14 +142,14 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[int, list[
     return runs, sequence
 
 
-def pack(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1) -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, size: int = 2048, closing: int = 1, **memory: int) -> DataFrame:
     """Place every piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The driver sees the histogram of at most ``size`` lengths, the sizes of the salted groups of each (at most
-    ``size`` times ``salts``) and the plan made from them.
+    ``size`` times ``salts``) and the plan made from them. ``memory`` goes to ``pieces``.
     """
     salts = 32
-    cuts = cut(pieces(docs, vocab_path, size, closing).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")))
+    cuts = cut(pieces(docs, vocab_path, size, closing, **memory).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")))
     groups = sorted(tuple(r) for r in cuts.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     before = []
