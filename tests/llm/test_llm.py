@@ -310,6 +310,28 @@ def test_large_bands_lose_no_pair(spark, seed):
     assert largest > 100 and len(banded) > 50 and roots(banded) <= gone <= roots(near)
 
 
+def test_large_bands_meet_by_what_is_rare_in_their_family(spark, monkeypatch):
+    rng, met, possible = random.Random(6), [], lines.possible
+    vocabulary, known = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(250)], []
+    for _ in range(5):
+        base = rng.choices(vocabulary, k=60)
+        for _ in range(60):
+            own = list(base)
+            for k in rng.sample(range(60), 8):
+                own[k] = rng.choice(vocabulary)
+            known.append(" ".join(own))
+
+    def counted(left, right, similarity):
+        met.append(lines.side(left, "a").join(lines.side(right, "b"), "key").where("aof <> bof").count())
+        return possible(left, right, similarity)
+
+    monkeypatch.setattr(lines, "possible", counted)
+    near, banded, largest = links_of(spark, known)
+    gone = {r.doc_id for r in lines.report(frame(spark, list(enumerate(known)))).collect() if r.n_removed}
+    roots = lambda links: {k for k, root in enumerate(union_find(len(known), links)) if root != k}
+    assert largest > lines.ALL and roots(banded) <= gone <= roots(near) and 0 < sum(met) < 12 * len(known), met
+
+
 def test_pipeline_stage_loses_no_pair_of_large_bands(spark):
     import corpus_pipeline
 
